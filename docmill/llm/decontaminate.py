@@ -50,9 +50,12 @@ def winnowed(df: DataFrame, words: str) -> DataFrame:
 
 
 def _windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """One row for each distinct window of the benchmark: fp, win (its words), items (ids)."""
+    """One row for each distinct window of the benchmark: fp, win (its words), items (ids).
+
+    The explode is an outer one, as a plain one has a filter inferred below it that repeats the nested hash expressions.
+    """
     items = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
-    long = winnowed(items.filter(F.size("w") >= SPAN), "w").select("item", "w", F.posexplode("least").alias("at", "fp"))
+    long = winnowed(items.filter(F.size("w") >= SPAN), "w").select("item", "w", F.posexplode_outer("least").alias("at", "fp")).filter("fp is not null")
     long = long.select("item", "fp", F.slice("w", F.col("at") + 1, F.lit(SPAN)).alias("win"))
     short = items.filter(F.size("w") < SPAN).select("item", F.xxhash64("w", F.size("w")).alias("fp"), F.col("w").alias("win"))
     return long.union(short).groupBy("fp", "win").agg(F.collect_set("item").alias("items"))
@@ -76,7 +79,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: st
         found.append(F.transform(starts, lambda i, n=n: F.struct(F.xxhash64(F.slice("w", i + 1, F.lit(n)), F.lit(n)).alias("fp"), i.alias("at"), F.slice("w", i + 1, F.lit(n)).alias("near"))))
     #: so that a document without any hash still has a row
     head = F.array(F.struct(F.lit(None).cast("bigint").alias("fp"), F.lit(-1).alias("at"), F.lit(None).cast("array<string>").alias("near")))
-    rows = d.select("id", "same", "n", F.explode(F.concat(head, *found)).alias("x")).select("id", "same", "n", "x.fp", "x.at", "x.near")
+    rows = d.select("id", "same", "n", F.explode_outer(F.concat(head, *found)).alias("x")).select("id", "same", "n", "x.fp", "x.at", "x.near")
 
     hits = rows.join(windows, F.col("fp") == F.col("item_fp"), "left").filter("at = -1 or win is not null")
     n = F.size("win")
