@@ -25,7 +25,22 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(found).alias("contaminated"))
 
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op8_url_filter": op8_url_filter}
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm import language
+
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, ~language.held_out(F.col("doc_id")))
+    found = language.classify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+QUERIES = {"op3_decontaminate": op3_decontaminate, "op5_language": op5_language, "op8_url_filter": op8_url_filter, "op10_near_dedup": op10_near_dedup}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RULES = ", ".join(str(r) for r in URL_RULES)
