@@ -46,10 +46,12 @@ def fit(documents: DataFrame, training: Column, *, id_col: str = "doc_id", text_
     return [(lang, b"".join(t for _, t in sorted(texts[lang]))[:dict_bytes]) for lang in order]
 
 
-def classify(documents: DataFrame, model: list[tuple[str, bytes]], *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), min_margin: int = 1, level: int = 3, short: int = 1 << 10, short_level: int = 19) -> DataFrame:
+def classify(documents: DataFrame, model: list[tuple[str, bytes]], *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), min_margin: int = 1, level: int = 3, short: int = 1 << 10, short_level: int = 19, lead: int = 256) -> DataFrame:
     """id_col, the columns in keep, lang_pred, score, margin (bytes), rejected.
 
-    level: of zstandard; short_level: for texts of fewer than short bytes, where single bytes decide.
+    level: of zstandard; short_level: for texts of fewer than short bytes, where single bytes decide. Such a text
+    is compressed behind the last lead bytes of the dictionary, whose own size is taken off, as zstandard stores what
+    gains only a few bytes as it is.
     """
     kept = [id_col, *keep]
 
@@ -69,6 +71,8 @@ def classify(documents: DataFrame, model: list[tuple[str, bytes]], *, id_col: st
             return out
 
         packers, fine_packers = packers_at(level), packers_at(short_level)
+        leads = [data[-lead:] for _, data in model]
+        without = [len(pack(x)) for pack, x in zip(fine_packers, leads, strict=True)]
         for batch in batches:
             pred, score, margin, rejected = [], [], [], []
             for text in batch.column("_text"):
@@ -77,7 +81,10 @@ def classify(documents: DataFrame, model: list[tuple[str, bytes]], *, id_col: st
                     pred.append("und"), score.append(0.0), margin.append(0), rejected.append(True)
                     continue
                 raw = plain(text)
-                sizes = [len(pack(raw)) for pack in (fine_packers if len(raw) < short else packers)]
+                if len(raw) < short:
+                    sizes = [len(pack(x + raw)) - n for pack, x, n in zip(fine_packers, leads, without, strict=True)]
+                else:
+                    sizes = [len(pack(raw)) for pack in packers]
                 least = min(sizes)
                 extra = sorted(sizes)[1] - least if len(sizes) > 1 else len(raw)
                 pred.append(langs[sizes.index(least)])
