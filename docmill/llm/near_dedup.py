@@ -6,7 +6,7 @@ make a band of four values, so documents with similarity s share one of the 24 b
 
 Exact copies (equal sets) are one class from the start, known by their smallest id. Buckets of a band are never
 expanded into pairs. First every member of a bucket is held against one pivot, and what is linked forms components.
-Buckets of more than BLOCK members that still hold several components get PIVOTS more pivots in each of ROUNDS rounds;
+Buckets of more than BLOCK members that still hold several components get PIVOTS more pivots, ROUNDS times;
 members of a pivot's own component need no look. Buckets that are open after that are dealt into blocks, and pairs of
 blocks are compared set by set; that is the exact way for what the pivots leave. All that is gathered are links; components are joins of written tables.
 
@@ -29,7 +29,7 @@ from docmill.llm import shingles
 from docmill.llm.common import written
 from docmill.llm.components import components
 
-PERMUTATIONS, BANDS, BLOCK, ROUNDS, PIVOTS = 48, 24, 256, 3, 4
+PERMUTATIONS, BANDS, BLOCK, ROUNDS, PIVOTS = 48, 24, 256, 1, 4
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _A = _rng.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64)
