@@ -40,7 +40,16 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op5_language": op5_language, "op8_url_filter": op8_url_filter, "op10_near_dedup": op10_near_dedup}
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm import chunk_reuse, tokens
+
+    path = tokens.path_of("byte_bpe_50k.json")
+    encoded = chunk_reuse.encode_documents(table(spark, sf_dir, "documents"), path)
+    decoded = chunk_reuse.decode_ids(chunk_reuse.with_digest(encoded), path, keep=("doc_id", "n_tokens", "ids_sha256"))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op3_decontaminate": op3_decontaminate, "op5_language": op5_language, "op8_url_filter": op8_url_filter, "op10_near_dedup": op10_near_dedup}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RULES = ", ".join(str(r) for r in URL_RULES)
