@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import table
+from docmill.llm.common import shared_folder, table
 
 #: the rules that the contract of op8 names: host, path, verdict
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -49,7 +49,23 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op3_decontaminate": op3_decontaminate, "op5_language": op5_language, "op8_url_filter": op8_url_filter, "op10_near_dedup": op10_near_dedup}
+def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from docmill.llm import token_planes, tokens
+
+    target = f"{shared_folder(spark)}/planes-{uuid.uuid4().hex}"
+    token_planes.write_token_planes(table(spark, sf_dir, "documents"), target, tokens.path_of("word_bpe_49k.json"), end_id=2)
+    return token_planes.with_crc32(token_planes.read_token_planes(spark, target))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm import token_counts, tokens
+
+    return token_counts.length_histogram(token_counts.token_lengths(table(spark, sf_dir, "documents"), tokens.path_of("byte_bpe_50k.json")))
+
+
+QUERIES = {"op1_token_planes": op1_token_planes, "op9_token_counts": op9_token_counts, "op4_bpe": op4_bpe, "op3_decontaminate": op3_decontaminate, "op5_language": op5_language, "op8_url_filter": op8_url_filter, "op10_near_dedup": op10_near_dedup}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RULES = ", ".join(str(r) for r in URL_RULES)
