@@ -1,8 +1,53 @@
-"""Stages from raw documents to encoded ones; each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""A training corpus from raw documents: language ID, near-dedup, benchmark decontamination, BPE.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return the
+columns of documents; the last returns doc_id, n_tokens, ids (unsigned 16-bit little-endian), ids_sha256 and
+decoded_sha256. Null ids and repeated rows are carried along: rows that repeat an id go or stay together.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docmill.llm import chunk_reuse, common, decontaminate, language, near_dedup, tokens
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language is told by a margin stay; those without letters, and ties between languages, go."""
+    model = language.fit(docs, F.lit(True))
+    found = language.classify(docs, model, id_col=docs.columns[0], keep=tuple(docs.columns[1:]))
+    return found.filter(~F.col("rejected")).select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest id stays."""
+    gone = near_dedup.near_duplicates(docs, percent=80).filter(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with a twentieth or more of their words in passages of the benchmark go."""
+    found = decontaminate.find_contamination(docs, common.table(spark, sf_dir, "benchmark"))
+    hit = found.filter(decontaminate.contaminated(found)).select(F.col("doc_id").alias("hit_id"), "text_hash").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("text_hash"))
+    return docs.join(hit, same, "left_anti").select(*docs.columns)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text as ids, and the digest of what they decode to."""
+    path = tokens.path_of("byte_bpe_50k.json")
+    encoded = chunk_reuse.with_digest(chunk_reuse.encode_documents(docs, path))
+    decoded = chunk_reuse.decode_ids(encoded, path, keep=("doc_id", "n_tokens", "ids_sha256"))
+    return decoded.select("doc_id", "n_tokens", "ids", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup_stage), ("decontaminate", decontaminate_stage), ("bpe", bpe)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
