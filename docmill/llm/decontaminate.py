@@ -62,7 +62,10 @@ def _windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = 200_000) -> DataFrame:
-    """Per document: id_col, n_words, n_hit, items (sorted ids as strings), spans (start and end of each run of hit words)."""
+    """Per document: id_col, text_hash, n_words, n_hit, items (sorted ids as strings), spans (start and end of each run of hit words).
+
+    text_hash: xxhash64 of the text as it stands, which tells rows with one id apart.
+    """
     windows = _windows(benchmark, item_col, item_text_col).withColumnRenamed("fp", "item_fp")
     lengths = sorted(r[0] for r in windows.select(F.size("win").alias("n")).distinct().collect() if r[0] < SPAN)  # 12 at most
     if small_enough(windows, broadcast_windows):
@@ -100,9 +103,9 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: st
     hits = hits.withColumn("spans", F.aggregate("spans", F.array().cast(runs_type), grown))
     hits = hits.withColumn("items", F.array_sort(F.transform(F.array_distinct(F.flatten("items")), lambda x: x.cast("string"))))
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + (s["end"] - s["start"]))
-    hits = hits.select("id", "n", "times", "spans", "items", n_hit.alias("n_hit"))
+    hits = hits.select("id", "same", "n", "times", "spans", "items", n_hit.alias("n_hit"))
     hits = hits.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return hits.select(F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_words"), "n_hit", "items", "spans")
+    return hits.select(F.col("id").alias(id_col), F.col("same").alias("text_hash"), F.col("n").cast("bigint").alias("n_words"), "n_hit", "items", "spans")
 
 
 def contaminated(found: DataFrame, one_in: int = 20) -> Column:
