@@ -65,7 +65,16 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.token_lengths(table(spark, sf_dir, "documents"), tokens.path_of("byte_bpe_50k.json")))
 
 
-QUERIES = {"op1_token_planes": op1_token_planes, "op9_token_counts": op9_token_counts, "op4_bpe": op4_bpe, "op3_decontaminate": op3_decontaminate, "op5_language": op5_language, "op8_url_filter": op8_url_filter, "op10_near_dedup": op10_near_dedup}
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm import suffix_tree
+    from docmill.llm.language import held_out
+
+    docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 1)
+    scored = suffix_tree.score(docs, ~F.coalesce(out, F.lit(False)))
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {"op7_lm_score": op7_lm_score, "op1_token_planes": op1_token_planes, "op9_token_counts": op9_token_counts, "op4_bpe": op4_bpe, "op3_decontaminate": op3_decontaminate, "op5_language": op5_language, "op8_url_filter": op8_url_filter, "op10_near_dedup": op10_near_dedup}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RULES = ", ".join(str(r) for r in URL_RULES)
