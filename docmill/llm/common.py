@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,20 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def word_shifted(c: Column, n: Column, by: int, length: int) -> Column:
-    """Elements by, by+1, ... of an array with n elements, so that length are left out in all."""
-    return F.slice(c, F.lit(by + 1), F.greatest(n - length, F.lit(0)))
+def bit_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Bytes of a filter in which the bit pmod(h, bits) of each hash (one bigint column, h) is set.
+
+    Its size is fixed: the driver gets bits / 64 numbers at most, however many hashes there are. has_bit() may say yes
+    to a hash that isn't there, so what it lets through is still joined.
+    """
+    place = hashes.select(F.pmod("h", F.lit(bits)).alias("place"))
+    words = place.groupBy(F.shiftright("place", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("mask"))
+    out = np.zeros(bits // 64, np.int64)
+    for r in words.toLocalIterator():
+        out[r["word"]] = r["mask"]
+    return out.view(np.uint8)
+
+
+def has_bit(held: np.ndarray, h: int) -> bool:
+    place = h % (8 * len(held))
+    return bool(held[place >> 3] >> (place & 7) & 1)

@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import shingles
-from docmill.llm.common import written
+from docmill.llm.common import bit_filter, has_bit, written
 from docmill.llm.components import components
 
 PERMUTATIONS, BANDS, BLOCK, ROUNDS, PIVOTS = 48, 24, 256, 1, 4
+FILTER_BITS = 1 << 24
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _A = _rng.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64)
@@ -64,12 +65,20 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "same", "bands"])
 
 
-def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = [x or b"" for x in batch.column("text").to_pylist()]
-        for lo, hi in shingles.in_parts(raw):
-            sets = [s.tobytes() for s in shingles.shingle_sets(raw[lo:hi])]
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["id", "set"])
+def _sets_of(texts: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
+    """id, set of the wanted ids. A filter of fixed size drops most other texts where they are read, the join the rest."""
+    held = texts.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.xxhash64("id").alias("h")), FILTER_BITS))
+
+    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array([has_bit(held.value, h) for h in batch.column("h").to_pylist()], pa.bool_()))
+            raw = [x or b"" for x in batch.column("text").to_pylist()]
+            for lo, hi in shingles.in_parts(raw):
+                sets = [s.tobytes() for s in shingles.shingle_sets(raw[lo:hi])]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    sets = texts.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(with_sets, f"id {kind}, set binary")
+    return sets.join(wanted, "id").dropDuplicates(["id"])
 
 
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -176,7 +185,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     buckets = written(members.join(shared.select("key", "pivot", "n"), "key"), "buckets")
     pairs = written(buckets.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = written(texts.join(wanted, "id").dropDuplicates(["id"]).mapInArrow(_with_sets, f"id {kind}, set binary"), "sets")
+    sets = written(_sets_of(texts, written(wanted, "wanted"), kind), "sets")
     links = written(_confirm(pairs, sets, percent), "links")
     labels = components(links)
 
