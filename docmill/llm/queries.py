@@ -74,7 +74,19 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {"op7_lm_score": op7_lm_score, "op1_token_planes": op1_token_planes, "op9_token_counts": op9_token_counts, "op4_bpe": op4_bpe, "op3_decontaminate": op3_decontaminate, "op5_language": op5_language, "op8_url_filter": op8_url_filter, "op10_near_dedup": op10_near_dedup}
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm.fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docmill.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_license_scan": op2_license_scan, "op6_fingerprints": op6_fingerprints, "op7_lm_score": op7_lm_score, "op1_token_planes": op1_token_planes, "op9_token_counts": op9_token_counts, "op4_bpe": op4_bpe, "op3_decontaminate": op3_decontaminate, "op5_language": op5_language, "op8_url_filter": op8_url_filter, "op10_near_dedup": op10_near_dedup}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RULES = ", ".join(str(r) for r in URL_RULES)
