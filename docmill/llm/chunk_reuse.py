@@ -6,8 +6,8 @@ character, where a byte-level tokenizer ends a pre-token whatever stands around.
 text; what lies between two cores is a join.
 
 1. One pass hashes all cores; those that occur twice or more set a bit in a filter of fixed size (filter_bits).
-2. One pass splits the documents. Texts without a core in the filter are encoded at once. The others are written, once
-   for each distinct text; a full filter only sends more texts that way.
+2. Texts with a core in the filter are written and reduced to distinct ones; a full filter only sends more texts that
+   way. All other texts are encoded where they are read.
 3. Of these, each core that several places share is encoded once, in the text with the smallest key that holds it, and
    its ids are joined to every place.
 4. Joins are repaired: the text from the end of one core to the start of the next that has ids is encoded as one. Both
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import tokens
-from docmill.llm.common import written
+from docmill.llm.common import bit_filter, has_bit, slices, written
 
 CUT_BITS, LEAST_CORE = 10, 64
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -60,20 +60,14 @@ def _hash(x: bytes) -> bytes:
 
 
 def _core_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         out = [int.from_bytes(_hash(raw[s:e])[:8], "little", signed=True) for raw in batch.column("raw").to_pylist() if raw for s, e in cores(raw)]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["h"])
 
 
-def _filter(texts: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each core hash that occurs twice or more; the driver gets bits / 64 numbers at most."""
-    shared = texts.select("raw").mapInArrow(_core_hashes, "h bigint").groupBy("h").count().filter("count > 1")
-    place = shared.select(F.pmod("h", F.lit(bits)).alias("place"))
-    words = place.groupBy(F.shiftright("place", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("mask"))
-    out = np.zeros(bits // 64, np.int64)
-    for r in words.toLocalIterator():
-        out[r["word"]] = r["mask"]
-    return out.view(np.uint8)
+def _shared(texts: DataFrame, bits: int) -> np.ndarray:
+    """A filter of the core hashes that occur twice or more."""
+    return bit_filter(texts.select("raw").mapInArrow(_core_hashes, "h bigint").groupBy("h").count().filter("count > 1").select("h"), bits)
 
 
 def _joined(raw: bytes, spans: list[tuple[int, int]], have: dict[bytes, bytes], encode) -> bytes:
@@ -99,26 +93,30 @@ def encode_documents(documents: DataFrame, path: str, *, id_col: str = "doc_id",
     width = 2 if check.library.get_vocab_size() <= 1 << 16 else 4
     kind = documents.schema[id_col].dataType.simpleString()
     texts = documents.select(F.col(id_col).alias("id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("raw"))
-    spark = documents.sparkSession
-    known_bits = spark.sparkContext.broadcast(_filter(texts, filter_bits))
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, bits = tokens.pieces(path, width).encode, known_bits.value
-        for batch in batches:
-            ids, keys, raws, found = [], [], [], []
-            for raw in batch.column("raw").to_pylist():
-                hashes = [_hash(raw[s:e]) for s, e in cores(raw)]
-                places = [int.from_bytes(h[:8], "little") % filter_bits for h in hashes]
-                often = any(bits[p >> 3] >> (p & 7) & 1 for p in places)
-                ids.append(None if often else encode(raw.decode()))
-                keys.append(_hash(raw) if often else None)
-                raws.append(raw if often else None)
-                found.append(hashes if often else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary()), pa.array(keys, pa.binary()), pa.array(raws, pa.binary()), pa.array(found, pa.list_(pa.binary()))], names=["id", "ids", "key", "raw", "cores"])
+    held = documents.sparkSession.sparkContext.broadcast(_shared(texts, filter_bits))
+
+    def shared_cores(raw: bytes, bits: np.ndarray) -> list[bytes]:
+        hashes = [_hash(raw[s:e]) for s, e in cores(raw)]
+        return hashes if any(has_bit(bits, int.from_bytes(h[:8], "little", signed=True)) for h in hashes) else []
+
+    def set_aside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shared_cores(raw, held.value) for raw in batch.column("raw").to_pylist()]
+            keep = pa.array([bool(x) for x in found], pa.bool_())
+            batch, found = batch.filter(keep), [x for x in found if x]
+            keys = [_hash(raw) for raw in batch.column("raw").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.binary()))], names=["id", "raw", "key", "cores"])
+
+    def encode_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = tokens.pieces(path, width).encode
+        for batch in slices(batches):
+            keep = pa.array([not shared_cores(raw, held.value) for raw in batch.column("raw").to_pylist()], pa.bool_())
+            batch = batch.filter(keep)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([encode(raw.decode()) for raw in batch.column("raw").to_pylist()], pa.binary())], names=["id", "ids"])
 
     def encode_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.pieces(path, width).encode
-        for batch in batches:
+        for batch in slices(batches):
             core, ids = [], []
             for raw, own in zip(batch.column("raw").to_pylist(), batch.column("own").to_pylist(), strict=True):
                 own = set(own)
@@ -130,53 +128,40 @@ def encode_documents(documents: DataFrame, path: str, *, id_col: str = "doc_id",
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.pieces(path, width).encode
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for raw, have in zip(batch.column("raw").to_pylist(), batch.column("have").to_pylist(), strict=True):
                 out.append(_joined(raw, cores(raw), {x["core"]: x["ids"] for x in have or []}, encode))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.binary())], names=["key", "ids"])
 
-    seen = written(texts.mapInArrow(split, f"id {kind}, ids binary, key binary, raw binary, cores array<binary>"), "split")
-    some = seen.filter("key is not null")
-    distinct = written(some.groupBy("key").agg(F.first("raw").alias("raw"), F.first("cores").alias("cores")), "texts")
+    aside = texts.mapInArrow(set_aside, f"id {kind}, raw binary, key binary, cores array<binary>")
+    distinct = written(aside.groupBy("key").agg(F.first("raw").alias("raw"), F.first("cores").alias("cores")), "texts")
     places = distinct.select("key", F.explode("cores").alias("core"))
     owners = places.groupBy("core").agg(F.min("key").alias("key"), F.count("*").alias("n")).filter("n > 1")
     own = owners.groupBy("key").agg(F.collect_list("core").alias("own"))
     encoded = written(distinct.select("key", "raw").join(own, "key").select("raw", "own").mapInArrow(encode_own, "core binary, ids binary"), "cores")
     have = places.distinct().join(encoded, "core").groupBy("key").agg(F.collect_list(F.struct("core", "ids")).alias("have"))
     repaired = distinct.select("key", "raw").join(have, "key", "left").select("key", "raw", "have").mapInArrow(repair, "key binary, ids binary")
-    back = some.select("id", "key").join(repaired, "key").select("id", "ids")
-    return seen.filter("key is null").select("id", "ids").unionByName(back).withColumnRenamed("id", id_col)
+    back = aside.select("id", "key").join(repaired, "key").select("id", "ids")
+    return texts.mapInArrow(encode_rest, f"id {kind}, ids binary").unionByName(back).withColumnRenamed("id", id_col)
 
 
 def decode_ids(encoded: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
-    """keep, ids_col, text: the library's decode(ids, skip_special_tokens=False)."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*keep, ids_col).schema)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = tokens.pieces(path).bytes_of
-        for batch in batches:
-            texts = []
-            for ids in batch.column(ids_col).to_pylist():
-                texts.append(None if ids is None else b"".join(map(table.__getitem__, np.frombuffer(ids, tokens.pieces(path).kind).tolist())).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
-
-    return encoded.select(*keep, ids_col).mapInArrow(decode, f"{schema}, text string")
-
-
-def with_digest(encoded: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", width: int = 2) -> DataFrame:
-    """Adds n_tokens and ids_sha256 (of the decimal ids, joined by commas)."""
+    """keep, ids_col, n_tokens, ids_sha256 (of the decimal ids, joined by commas), text (as the library's decode, special tokens included)."""
     names = [*keep, ids_col]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*names).schema)
+    width = 2 if tokens.Pieces(path).library.get_vocab_size() <= 1 << 16 else 4
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal = [str(i) for i in range(1 << 16)]
-        for batch in batches:
-            n, sha = [], []
-            for ids in batch.column(ids_col).to_pylist():
-                ids = np.frombuffer(ids, f"<u{width}").tolist()
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = tokens.pieces(path, width).bytes_of
+        decimal = [str(i) for i in range(len(of))]
+        for batch in slices(batches):
+            n, sha, texts = [], [], []
+            for raw in batch.column(ids_col).to_pylist():
+                ids = np.frombuffer(raw or b"", f"<u{width}").tolist()
                 n.append(len(ids))
-                sha.append(hashlib.sha256(",".join([decimal[i] for i in ids] if width == 2 else map(str, ids)).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=[*names, "n_tokens", "ids_sha256"])
+                sha.append(hashlib.sha256(",".join([decimal[i] for i in ids]).encode()).hexdigest())
+                texts.append(b"".join([of[i] for i in ids]).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], names=[*names, "n_tokens", "ids_sha256", "text"])
 
-    return encoded.select(*names).mapInArrow(digest, f"{schema}, n_tokens bigint, ids_sha256 string")
+    return encoded.select(*names).mapInArrow(decode, f"{schema}, n_tokens bigint, ids_sha256 string, text string")

@@ -61,3 +61,10 @@ def bit_filter(hashes: DataFrame, bits: int) -> np.ndarray:
 def has_bit(held: np.ndarray, h: int) -> bool:
     place = h % (8 * len(held))
     return bool(held[place >> 3] >> (place & 7) & 1)
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches of at most so many rows, so that what is made of them stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.llm.common import slices
+
 
 _BLANK = bytes(32 if chr(i) not in string.ascii_letters and i < 128 else i for i in range(256))
 
@@ -73,7 +75,7 @@ def classify(documents: DataFrame, model: list[tuple[str, bytes]], *, id_col: st
         packers, fine_packers = packers_at(level), packers_at(short_level)
         leads = [data[-lead:] for _, data in model]
         without = [len(pack(x)) for pack, x in zip(fine_packers, leads, strict=True)]
-        for batch in batches:
+        for batch in slices(batches):
             pred, score, margin, rejected = [], [], [], []
             for text in batch.column("_text"):
                 text = text.as_py()

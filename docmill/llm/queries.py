@@ -45,7 +45,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = tokens.path_of("byte_bpe_50k.json")
     encoded = chunk_reuse.encode_documents(table(spark, sf_dir, "documents"), path)
-    decoded = chunk_reuse.decode_ids(chunk_reuse.with_digest(encoded), path, keep=("doc_id", "n_tokens", "ids_sha256"))
+    decoded = chunk_reuse.decode_ids(encoded, path)
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.llm import tokens
+from docmill.llm.common import slices
 
 BLOCK, SEGMENT, LEVEL = 1 << 16, 1 << 20, 3
 FIELDS = "part int, segment int, width int, block int, doc_ids array<bigint>, lengths array<bigint>, offsets array<bigint>, planes binary"
@@ -123,7 +124,7 @@ def with_crc32(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id", "start", "
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = [zlib.crc32(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()) for ids, width in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.int64())], names=[*keep, "ids_crc32"])
 

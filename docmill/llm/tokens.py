@@ -1,13 +1,12 @@
-"""Encoding with a public tokenizer piece by piece, each distinct piece once a worker.
-
-The tokenizers library cuts a text into pre-tokens before it merges. Where a cut is certain, whatever stands around it,
-the ids of a text are those of its parts, one after the other:
-
-* byte-level files (use_regex): before a blank that follows a character other than white space;
-* word-end files, whose white space is dropped: at every blank or ASCII white space.
-
-Pieces between such cuts are encoded by the library itself and kept in a table of at most MEMO pieces, which is
-emptied when it is full. Texts with cuts that aren't certain (two blanks in a row, say) are encoded whole.
+"""Encoding with a public tokenizer file, equal to the tokenizers library's but faster.
+
+* Byte-level files (use_regex) whose ids follow the order of their merges: merging by rank is what tiktoken does, with
+  the same pattern for pre-tokens; it is given the file's vocabulary. Texts that hold the name of a special token, or a
+  run of LONG_RUN characters other than white space, go to the library.
+* Word-end files, whose white space is dropped: the ids of a text are those of its words, one after the other. Words
+  are encoded by the library, each distinct one once a worker, and kept in two tables of at most MEMO words; when the
+  newer is full the older one is dropped.
+* Any other text or file is encoded by the library as it stands.
 """
 
 from __future__ import annotations
@@ -19,8 +18,8 @@ import unicodedata
 
 import numpy as np
 
-MEMO = 1 << 19
-_unsure = re.compile(r"\s ").search
+MEMO, LONG_RUN = 1 << 18, 5000
+_long_run = re.compile(r"\S{%d}" % LONG_RUN).search
 _odd_space = re.compile("[\x1c-\x1f]").search  # white space to Python, not to the library
 _latin = re.compile("[\x00-\u017f]*").fullmatch
 
@@ -49,12 +48,27 @@ class Pieces:
         else:
             self.blank = None
         self.specials = [x["content"] for x in state.get("added_tokens", [])]
+        self.special_ids = {x["id"] for x in state.get("added_tokens", [])}
         self.kind, self.memo_size = np.dtype(f"<u{width}"), memo
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         suffix = len(state["model"].get("end_of_word_suffix") or "")
         self.n_bytes = np.zeros(self.library.get_vocab_size() + 1, np.int64)  # a byte is one character of a token's name
         for name, i in self.library.get_vocab().items():
             self.n_bytes[i] = len(name) - (suffix if suffix and name.endswith("</w>") else 0)
+        self.by_rank = self._ranked(state["model"]) if self.blank == " " else None
+
+    def _ranked(self, model: dict):
+        """A tiktoken encoding with this file's vocabulary; None if ids don't follow the order of merges."""
+        import public_tokenizers
+        import tiktoken
+
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        ids = [model["vocab"][name] for name in merged]
+        if ids != sorted(set(ids)) or min(ids) < 256:
+            return None
+        ranks = {x: i for i, x in enumerate(self.bytes_of) if i not in self.special_ids}
+        return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
     @functools.cached_property
     def bytes_of(self) -> list[bytes]:
@@ -72,8 +86,14 @@ class Pieces:
 
     def _learn(self, words) -> None:
         if len(self.memo) > self.memo_size:
-            self.memo.clear()
-        new = [w for w in set(words) if w not in self.memo]
+            self.older, self.memo = self.memo, {}
+        new = []
+        for w in set(words):
+            if w not in self.memo:
+                if w in self.older:
+                    self.memo[w] = self.older[w]
+                else:
+                    new.append(w)
         plain = [w for w in new if w and _latin(w)]
         if not self._learn_joined(plain):
             plain = []
@@ -97,20 +117,16 @@ class Pieces:
         return True
 
     def encode(self, text: str) -> bytes:
-        if self.blank == " ":
-            first, *words = text.split(" ")
-            if not words or _unsure(text) or any(s in text for s in self.specials if " " in s):
-                return self.whole(text)
-            head = self.whole(first) if first else b""
-        elif self.blank == "" and not _odd_space(text) and not any(s in text for s in self.specials):
-            head, words = b"", text.split()
-        else:
+        if self.by_rank and not any(s in text for s in self.specials) and not _long_run(text):
+            return self.by_rank(text, disallowed_special=()).astype(self.kind).tobytes()
+        if self.blank != "" or _odd_space(text) or any(s in text for s in self.specials):
             return self.whole(text)
+        words = text.split()
         try:
-            return head + b"".join(map(self.memo.__getitem__, words))
+            return b"".join(map(self.memo.__getitem__, words))
         except KeyError:
             self._learn(words)
-            return head + b"".join(map(self.memo.__getitem__, words))
+            return b"".join(map(self.memo.__getitem__, words))
 
 
 @functools.lru_cache(2)
