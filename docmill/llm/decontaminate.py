@@ -61,6 +61,17 @@ def _windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return long.union(short).groupBy("fp", "win").agg(F.collect_set("item").alias("items"))
 
 
+def _short_windows(k: int) -> Column:
+    """All k words in a row of a document, by the hash that items of k words have."""
+    starts = F.when(F.col("n") >= k, F.sequence(F.lit(0), F.col("n") - k)).otherwise(F.array().cast("array<int>"))
+
+    def window(i: Column) -> Column:
+        own = F.slice("w", i + 1, F.lit(k))
+        return F.struct(F.xxhash64(own, F.lit(k)).alias("fp"), i.alias("at"), own.alias("near"))
+
+    return F.transform(starts, window)
+
+
 def find_contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = 200_000) -> DataFrame:
     """Per document: id_col, text_hash, n_words, n_hit, items (sorted ids as strings), spans (start and end of each run of hit words).
 
@@ -77,9 +88,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: st
     places = F.filter(F.transform(least, lambda x, i: F.when((i == 0) | (x != F.get(least, i - 1)) | (x == F.get(least, i - W)), i)), lambda i: i.isNotNull())
     d = d.withColumn("at", places)
     found = [F.transform("at", lambda i: F.struct(F.get(least, i).alias("fp"), i.alias("at"), F.slice("w", i + 1, F.lit(SPAN + W - 1)).alias("near")))]
-    for n in lengths:
-        starts = F.when(F.col("n") >= n, F.sequence(F.lit(0), F.col("n") - n)).otherwise(F.array().cast("array<int>"))
-        found.append(F.transform(starts, lambda i, n=n: F.struct(F.xxhash64(F.slice("w", i + 1, F.lit(n)), F.lit(n)).alias("fp"), i.alias("at"), F.slice("w", i + 1, F.lit(n)).alias("near"))))
+    found += [_short_windows(n) for n in lengths]
     #: so that a document without any hash still has a row
     head = F.array(F.struct(F.lit(None).cast("bigint").alias("fp"), F.lit(-1).alias("at"), F.lit(None).cast("array<string>").alias("near")))
     rows = d.select("id", "same", "n", F.explode_outer(F.concat(head, *found)).alias("x")).select("id", "same", "n", "x.fp", "x.at", "x.near")
