@@ -209,6 +209,11 @@ def _where(v: Value, f: Any) -> Column:
     raise QueryError("$where stands at the top of a query")
 
 
+def _item_schema(v: Value, schema: dict) -> Callable[[Column], Column]:
+    inner = v.type.elementType
+    return lambda e: F.coalesce(_json_schema(v.scope.element(e, inner), schema), F.lit(False))
+
+
 def _json_schema(v: Value, schema: dict) -> Column:
     """type, required, enum, minimum, maximum, minLength, maxLength, pattern, properties, items."""
     types = {"number": "number", "integer": ["int", "long"], "string": "string", "boolean": "bool", "object": "object", "array": "array", "null": "null"}
@@ -237,8 +242,7 @@ def _json_schema(v: Value, schema: dict) -> Column:
 
             parts += [_json_schema(walk(v, [name]), sub) for name, sub in x.items()]
         elif key == "items" and is_array(v.type):
-            inner = v.type.elementType
-            parts.append(absent | F.forall(v.col, lambda e, x=x: F.coalesce(_json_schema(v.scope.element(e, inner), x), F.lit(False))))
+            parts.append(absent | F.forall(v.col, _item_schema(v, x)))
         elif key not in ("title", "description"):
             raise QueryError(f"$jsonSchema: unknown keyword {key}")
     return _all(parts)

@@ -66,6 +66,11 @@ def _nested(specs: dict) -> dict[str, Any]:
     return out
 
 
+def _matching(v: Value, q: dict) -> Callable[[Column], Column]:
+    inner = v.type.elementType
+    return lambda e: F.coalesce(compile_on(v.scope.element(e, inner), q), F.lit(False))
+
+
 def _is_flag(x: Any) -> bool:
     return isinstance(x, (bool, int, float)) and not isinstance(x, str)
 
@@ -103,9 +108,7 @@ def _project(df, spec, _):
             if x and k in df.columns:
                 cols.append(F.col(f"`{k}`"))
         elif isinstance(x, dict) and "$elemMatch" in x:
-            v = scope.field(k)
-            inner = v.type.elementType
-            cols.append(F.get(F.filter(v.col, lambda e, q=x["$elemMatch"], v=v, inner=inner: F.coalesce(compile_on(scope.element(e, inner), q), F.lit(False))), 0).alias(k))
+            cols.append(F.get(F.filter(scope.field(k).col, _matching(scope.field(k), x["$elemMatch"])), 0).alias(k))
         elif isinstance(x, dict) and "$slice" in x and not (isinstance(x["$slice"], list) and isinstance(x["$slice"][0], (str, dict, list))):
             args = x["$slice"] if isinstance(x["$slice"], list) else [x["$slice"]]
             cols.append(compile_expr(scope, {"$slice": [f"${k}", *args]}).col.alias(k))
@@ -132,6 +135,10 @@ def _add_fields(df, spec, _):
     return df.withColumns(out)
 
 
+def _without(field: str) -> Callable[[Column], Column]:
+    return lambda e: e.dropFields(field)
+
+
 @stage("$unset")
 def _unset(df, paths, _):
     out = {}
@@ -142,7 +149,7 @@ def _unset(df, paths, _):
             kind = df.schema[top].dataType
             field = ".".join(rest)
             base = out.get(top, F.col(f"`{top}`"))
-            out[top] = F.transform(base, lambda e, f=field: e.dropFields(f)) if isinstance(kind, T.ArrayType) else base.dropFields(field)
+            out[top] = F.transform(base, _without(field)) if isinstance(kind, T.ArrayType) else base.dropFields(field)
         elif not rest:
             flat.append(top)
     return df.withColumns(out).drop(*flat)

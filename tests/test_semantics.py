@@ -77,6 +77,15 @@ def test_project_and_paths(df):
     assert agg(df, {"$match": {"_id": 1}}, {"$set": {"n.b": {"$add": ["$n.b", 1]}}}, {"$project": {"_id": 0, "x": "$n.b"}}) == [{"x": 2}]
 
 
+def test_array_projections(df):
+    assert agg(df, {"$project": {"tags": {"$slice": 1}}})[0] == {"_id": 1, "tags": ["x"]}
+    items = df.select("_id", df["n.items"].alias("items"))
+    assert agg(items, {"$project": {"items": {"$elemMatch": {"qty": {"$lt": 5}}}}}, {"$match": {"_id": 4}}) == [{"_id": 4, "items": {"sku": "s", "qty": 1}}]
+    assert agg(items, {"$unset": "items.qty"}, {"$limit": 1}) == [{"_id": 1, "items": [{"sku": "s"}]}]
+    schema = {"properties": {"items": {"items": {"properties": {"qty": {"maximum": 5}}}}}}
+    assert [r["_id"] for r in agg(items, {"$match": {"$jsonSchema": schema}})] == [1, 2, 3]
+
+
 def test_bucket_raises_outside(df):
     with pytest.raises(Exception, match="outside of all boundaries"):
         agg(df.filter("a is not null"), {"$bucket": {"groupBy": "$a", "boundaries": [0, 6]}})
