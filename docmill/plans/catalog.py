@@ -151,7 +151,7 @@ _expr("expr_zip", "nation", ["n_nationkey"], {"z": {"$map": {"input": {"$zip": {
 _expr("expr_set", "nation", ["n_nationkey"], {"u": {"$setUnion": [["$n_regionkey"], [1, 2]]}, "i": {"$setIntersection": [["$n_regionkey", 2], [1, 2]]}, "d": {"$setDifference": [[1, 2, 3], ["$n_regionkey"]]}, "e": {"$setEquals": [["$n_regionkey", 1], [1, "$n_regionkey", 1]]}, "s": {"$setIsSubset": [["$n_regionkey"], [0, 1, 2]]}, "all": {"$allElementsTrue": [["$n_regionkey", 1]]}, "any": {"$anyElementTrue": [["$n_regionkey", 0]]}}, "array_to_string(list_sort(list_distinct([n_regionkey, 1, 2])), ',') AS u, CASE WHEN n_regionkey = 1 THEN '1,2' ELSE '2' END AS i, array_to_string(list_filter([1, 2, 3], lambda x: x <> n_regionkey), ',') AS d, true AS e, n_regionkey IN (0, 1, 2) AS s, n_regionkey <> 0 AS \"all\", n_regionkey <> 0 AS \"any\"", lambda d: _text("u", "i", "d")(d.withColumns({c: F.array_sort(c) for c in ("u", "i", "d")})))
 _agg("expr_object", "nation", [{"$project": {"_id": 0, "n_nationkey": 1, "m": {"$mergeObjects": [{"a": "$n_regionkey", "b": 1}, {"b": 2}]}, "kv": {"$objectToArray": {"x": "$n_name", "y": "z"}}, "back": {"$arrayToObject": [[{"k": "name", "v": "$n_name"}]]}}}], "SELECT n_nationkey, n_regionkey AS a, 2 AS b, 'x=' || n_name || ',y=z' AS kv, n_name AS back FROM nation", lambda d: d.select("n_nationkey", "m.a", "m.b", F.array_join(F.transform("kv", lambda x: F.concat(x["k"], F.lit("="), x["v"])), ",").alias("kv"), F.col("back")["name"].alias("back")))
 _expr("expr_type", "events", ["event_id"], {"t": {"$type": "$value"}, "num": {"$isNumber": "$event_type"}, "i": {"$toInt": "$value"}, "s": {"$toString": "$event_id"}, "d": {"$toDouble": "$event_type"}, "b": {"$toBool": "$user_id"}, "c": {"$convert": {"input": "$event_type", "to": "int", "onError": -1}}}, "'double' AS t, false AS num, trunc(value)::INT AS i, event_id::VARCHAR AS s, CAST(NULL AS DOUBLE) AS d, user_id <> 0 AS b, -1 AS c")
-_expr("expr_trig", "customer", ["c_custkey"], {"s": {"$round": [{"$sin": "$c_acctbal"}, 6]}, "c": {"$round": [{"$cos": {"$degreesToRadians": "$c_custkey"}}, 6]}, "t": {"$round": [{"$atan2": ["$c_acctbal", 100]}, 6]}, "h": {"$round": [{"$tanh": {"$divide": ["$c_acctbal", 5000]}}, 6]}, "l": {"$round": [{"$log": [{"$add": ["$c_custkey", 1]}, 2]}, 6]}, "p": {"$pow": ["$c_nationkey", 2]}, "e": {"$round": [{"$sqrt": "$c_custkey"}, 6]}}, "round(sin(c_acctbal), 6) AS s, round(cos(radians(c_custkey)), 6) AS c, round(atan2(c_acctbal, 100), 6) AS t, round(tanh(c_acctbal / 5000), 6) AS h, round(log2(c_custkey + 1), 6) AS l, pow(c_nationkey, 2) AS p, round(sqrt(c_custkey), 6) AS e")
+_expr("expr_trig", "customer", ["c_custkey"], {"s": {"$round": [{"$sin": "$c_acctbal"}, 6]}, "c": {"$round": [{"$add": [2, {"$cos": {"$degreesToRadians": "$c_custkey"}}]}, 6]}, "t": {"$round": [{"$atan2": ["$c_acctbal", 100]}, 6]}, "h": {"$round": [{"$tanh": {"$divide": ["$c_acctbal", 5000]}}, 6]}, "l": {"$round": [{"$log": [{"$add": ["$c_custkey", 1]}, 2]}, 6]}, "p": {"$pow": ["$c_nationkey", 2]}, "e": {"$round": [{"$sqrt": "$c_custkey"}, 6]}}, "round(sin(c_acctbal), 6) AS s, round(2 + cos(radians(c_custkey)), 6) AS c, round(atan2(c_acctbal, 100), 6) AS t, round(tanh(c_acctbal / 5000), 6) AS h, round(log2(c_custkey + 1), 6) AS l, pow(c_nationkey, 2) AS p, round(sqrt(c_custkey), 6) AS e")
 _expr("expr_bitwise", "events", ["event_id"], {"a": {"$bitAnd": ["$event_id", "$user_id"]}, "o": {"$bitOr": ["$event_id", "$user_id"]}, "x": {"$bitXor": ["$event_id", "$user_id"]}}, "event_id & user_id AS a, event_id | user_id AS o, xor(event_id, user_id) AS x")
 
 # updates
