@@ -80,9 +80,9 @@ def write_token_planes(documents: DataFrame, target: str, tokenizer: str, *, end
             types = [pa.int32()] * 4 + [pa.list_(pa.int64())] * 3 + [pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=["part", "segment", "width", "block", "doc_ids", "lengths", "offsets", "planes"])
 
-        for batch in batches:
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                doc_ids.append(i), rows.append(piece.encode(text.as_py()) + end), lengths.append(len(rows[-1]) // width)
+        for batch in slices(batches):
+            for i, ids in zip(batch.column("id").to_pylist(), piece.encode_all(batch.column("text").to_pylist()), strict=True):
+                doc_ids.append(i), rows.append(ids + end), lengths.append(len(rows[-1]) // width)
                 held += lengths[-1]
                 if held >= SEGMENT:
                     yield close()

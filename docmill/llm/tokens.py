@@ -13,13 +13,15 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
 import unicodedata
 
 import numpy as np
 
-MEMO, LONG_RUN = 1 << 18, 5000
+MEMO, LONG_RUN = 1 << 19, 5000
 _long_run = re.compile(r"\S{%d}" % LONG_RUN).search
+_marks_meet = re.compile(r"[^\w\s][.,]|[.,][^\w\s]|_[.,]|[.,]_").search
 _odd_space = re.compile("[\x1c-\x1f]").search  # white space to Python, not to the library
 _latin = re.compile("[\x00-\u017f]*").fullmatch
 
@@ -34,6 +36,7 @@ class Pieces:
     """encode(text) -> ids as bytes (unsigned, of the width given, little-endian), equal to the library's."""
 
     def __init__(self, path: str, width: int = 2, memo: int = MEMO):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the threads here
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_file(path)
@@ -116,17 +119,31 @@ class Pieces:
         self.memo.update(zip(words, (data[i:j] for i, j in zip([0, *at], at)), strict=False))
         return True
 
+    def _words(self, text: str) -> list[str] | None:
+        """The pieces of a text for a word-end file; None if it must be encoded whole."""
+        if self.blank != "" or _odd_space(text) or any(s in text for s in self.specials):
+            return None
+        if text.isascii() or _latin(text):  # composed already, and lower-cased one by one
+            text = text.lower()
+            if not _marks_meet(text):  # a lone mark is a pre-token of its own
+                text = text.replace(".", " .").replace(",", " ,")
+        return text.split()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Many texts; what is new in them is learned at once."""
+        if self.by_rank:
+            return [self.encode(t) for t in texts]
+        parts = [self._words(t) for t in texts]
+        self._learn(w for p in parts if p for w in p)
+        get = self.memo.__getitem__
+        return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
+
     def encode(self, text: str) -> bytes:
-        if self.by_rank and not any(s in text for s in self.specials) and not _long_run(text):
+        if self.by_rank:
+            if any(s in text for s in self.specials) or _long_run(text):
+                return self.whole(text)
             return self.by_rank(text, disallowed_special=()).astype(self.kind).tobytes()
-        if self.blank != "" or _odd_space(text) or any(s in text for s in self.specials):
-            return self.whole(text)
-        words = text.split()
-        try:
-            return b"".join(map(self.memo.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-            return b"".join(map(self.memo.__getitem__, words))
+        return self.encode_all([text])[0]
 
 
 @functools.lru_cache(2)
