@@ -9,8 +9,9 @@ of its terms comes or goes, so short documents are told apart on the first level
 
 A fingerprint is 64 groups of four hexadecimal digits, 0000 where a subset has no term. Likeness of two fingerprints:
 1 if they are equal; else the largest share, over the levels on which either has LEAST subsets with terms (the first
-level if none has), of equal ones among these. Documents of at most SHORT distinct terms without any in the lexicon are
-hashed over all their terms, with "f" behind the last group.
+level if none has), of equal ones among these. Documents without any term in the lexicon, short or long, are hashed over
+all their terms, with "f" behind the last group. These terms travel with the document only where it has none of the PROBE
+most frequent terms of the lexicon; nearly all documents have one.
 
 Null texts are empty, and texts without terms have a fingerprint of zeros. Repeated rows come back one for each row;
 their order among themselves is that of their text. Null ids stand before all others. Columns of other names are left
@@ -27,15 +28,15 @@ from pyspark.sql import functions as F
 from docmill.llm.common import small_enough, written
 from docmill.llm.decontaminate import words_of
 
-LEVELS, SUBSETS, LEAST, SHORT, BUCKET = (4, 6, 8, 10), 16, 6, 16, 1024
+LEVELS, SUBSETS, LEAST, PROBE, BUCKET = (4, 6, 8, 10), 16, 6, 256, 1024
 
 
 def lexicon(texts: DataFrame, *, text_col: str = "text", rare_share: float = 1 / 1000, common_share: float = 1 / 20) -> DataFrame:
-    """term: those in the band of document frequency over all texts."""
+    """term, count: those in the band of document frequency over all texts."""
     n = texts.count()
     terms = texts.select(F.explode_outer(F.array_distinct(words_of(F.col(text_col)))).alias("term")).filter("term is not null")
     frequent = terms.groupBy("term").count()
-    return frequent.filter((F.col("count") >= rare_share * n) & (F.col("count") <= max(common_share * n, 1))).select("term")
+    return frequent.filter((F.col("count") >= rare_share * n) & (F.col("count") <= max(common_share * n, 1)))
 
 
 def _bucketed(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -112,20 +113,24 @@ def _finished(prints: DataFrame, id_col: str) -> DataFrame:
 
 def fingerprints(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rare_share: float = 1 / 1000, common_share: float = 1 / 20, broadcast_terms: int = 500_000) -> DataFrame:
     """Per document: id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    terms = written(lexicon(documents, text_col=text_col, rare_share=rare_share, common_share=common_share), "lexicon").select(F.col("term").alias("known"))
+    band = written(lexicon(documents, text_col=text_col, rare_share=rare_share, common_share=common_share), "lexicon")
+    usual = [r["term"] for r in band.orderBy(F.desc("count"), "term").limit(PROBE).collect()]
+    terms = band.select(F.col("term").alias("known"))
     if small_enough(terms, broadcast_terms):
         terms = F.broadcast(terms)
     docs = edited_texts(documents, id_col=id_col, text_col=text_col)
     docs = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("edited_sha256", F.sha2("edited", 256))
     both = docs.select("id", "b", "h", "row", "n_chars", "edited_sha256", F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), "text"), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text")))).alias("x"))
-    both = both.withColumn("words", F.array_distinct(words_of(F.col("x.text")))).withColumn("short", F.size("words") <= SHORT)
-    each = both.select("id", "b", "h", "row", "n_chars", "edited_sha256", "x.is_edited", "short", F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("term"))  # a row without a term for each text
-    each = each.join(terms, F.col("term") == F.col("known"), "left").filter("known is not null or short or term is null")
-    term = F.xxhash64("term")
+    both = both.withColumn("words", F.array_distinct(words_of(F.col("x.text"))))
+    whole = F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))
+    both = both.withColumn("whole", F.when(~F.arrays_overlap("words", F.array(*map(F.lit, usual))), whole) if usual else whole)
+    each = both.select("id", "b", "h", "row", "n_chars", "edited_sha256", "x.is_edited", "whole", F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("term"))  # a row without a term for each text
+    each = each.withColumn("whole", F.when(F.col("term").isNull(), F.col("whole")))
+    each = each.join(terms, F.col("term") == F.col("known"), "left").filter("known is not null or term is null")
     keys = ["b", "row", "is_edited"]
-    sets = each.groupBy(*keys).agg(F.first("id").alias("id"), F.first("h").alias("h"), F.first("n_chars").alias("n_chars"), F.first("edited_sha256").alias("edited_sha256"), F.array_sort(F.collect_list(F.when(F.col("known").isNotNull(), term))).alias("own"), F.array_sort(F.collect_list(F.when(F.col("term").isNotNull() & F.col("short"), term))).alias("all"))
-    sets = sets.withColumn("used", F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("all")))
-    marked = F.concat(_groups("used"), F.when((F.size("own") == 0) & (F.size("all") > 0), F.lit("f")).otherwise(F.lit("")))
+    sets = each.groupBy(*keys).agg(F.first("id").alias("id"), F.first("h").alias("h"), F.first("n_chars").alias("n_chars"), F.first("edited_sha256").alias("edited_sha256"), F.array_sort(F.collect_list(F.when(F.col("known").isNotNull(), F.xxhash64("term")))).alias("own"), F.first("whole", ignorenulls=True).alias("whole"))
+    sets = sets.withColumn("used", F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("whole")))
+    marked = F.concat(_groups("used"), F.when((F.size("own") == 0) & (F.size("whole") > 0), F.lit("f")).otherwise(F.lit("")))
     prints = sets.select("b", "row", "is_edited", "id", "h", "n_chars", "edited_sha256", marked.alias("print"))
     pairs = prints.groupBy("b", "row").agg(F.first("id").alias("id"), F.first("h").alias("h"), F.first("n_chars").alias("n_chars"), F.first("edited_sha256").alias("edited_sha256"), F.max(F.when(~F.col("is_edited"), F.col("print"))).alias("fingerprint"), F.max(F.when(F.col("is_edited"), F.col("print"))).alias("edited_fingerprint"))
     return _finished(written(pairs, "prints"), id_col)

@@ -222,6 +222,20 @@ def test_fingerprints(spark, docs, none):
     assert fingerprints.fingerprints(docs, broadcast_terms=0).select("doc_id", "fingerprint").exceptAll(fingerprints.fingerprints(docs).select("doc_id", "fingerprint")).count() == 0
 
 
+def test_long_texts_without_a_term_in_the_lexicon(spark):
+    one, two, rare = (" ".join(f"{x}{i}" for i in range(30)) for x in "pqr")
+    near = one.replace("p7 ", "changed ")
+    rows = [(i, one if i < 20 else two if i < 40 else f"mid{i // 4} own{i}") for i in range(98)] + [(98, rare), (99, ""), (100, near), (101, "...")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for broadcast_terms in (500_000, 0):
+        got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs, rare_share=0.015, broadcast_terms=broadcast_terms).collect()}
+        prints = {i: r["fingerprint"] for i, r in got.items()}
+        assert len({prints[i] for i in range(20)}) == len({prints[i] for i in range(20, 40)}) == 1
+        assert len({prints[i] for i in (0, 20, 98, 99, 100)}) == 5 and all(prints[i].endswith("f") for i in (0, 20, 98, 100))
+        assert prints[99] == prints[101] == "0" * 256 and got[98]["near_next"] == 0.0 and got[19]["near_next"] == 0.0 and got[0]["near_next"] == 1.0
+        assert len(prints[60]) == 256 and all(0 < got[i]["near_edited"] < 1 for i in (0, 19))
+
+
 def test_next_document_across_buckets(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET", 3)
     rows = [(i, f"{chr(97 + i)}" * (8 + i)) for i in (0, 1, 2, 4, 7, 9, 10, 19)]
