@@ -14,7 +14,7 @@ from docmill.llm import chunk_reuse, common, decontaminate, language, near_dedup
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is told by a margin stay; those without letters, and ties between languages, go."""
+    """Rows whose language is told by a margin stay; those without letters, ties, and texts of no learned language go."""
     model = language.fit(docs, F.lit(True))
     found = language.classify(docs, model, id_col=docs.columns[0], keep=tuple(docs.columns[1:]))
     return found.filter(~F.col("rejected")).select(*docs.columns)

@@ -202,6 +202,22 @@ def test_language(docs, none):
     assert language.classify(docs, model).count() == len(DOCS) and language.classify(none, model).count() == 0
 
 
+def test_unlearned_languages_and_junk_are_rejected(spark):
+    import base64
+
+    rng = random.Random(11)
+    syllables = SYLLABLES | {"xx": ["kra", "vžd", "ský", "ně", "oucí", "pře", "zmy"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    learned = [(i, text(lang, 150), lang) for i, lang in enumerate(["en", "fr"] * 40)]
+    model = language.fit(spark.createDataFrame(learned, "doc_id bigint, text string, lang string"), language.F.lit(True))
+    good = [text(lang, n) for lang in ("en", "fr") for n in (60, 200, 1000, 20000)]
+    bad = [text("xx", n) for n in (150, 1000, 20000)] + [f(rng.randbytes(n)) for n in (400, 3000, 50000) for f in (lambda b: b.hex(), lambda b: base64.b64encode(b).decode())]
+    got = language.classify(spark.createDataFrame(list(enumerate(good + bad)), "doc_id bigint, text string"), model).collect()
+    assert {r["doc_id"] for r in got if r["rejected"]} == set(range(len(good), len(good + bad)))
+    assert [r["lang_pred"] for r in sorted(got, key=lambda r: r["doc_id"])[: len(good)]] == ["en"] * 4 + ["fr"] * 4
+    assert all(b"".join(x := language.pieces_of(b"y" * n, 1024)) == b"y" * n and all(len(y) >= 1024 for y in x) for n in (1024, 4096, 5119, 5120, 9000))
+
+
 # op6
 
 
