@@ -1,20 +1,26 @@
 """License scans by conditional compression.
 
-Candidate blocks are the lines of a text that hold one of the TRIGGERS. Each block is compressed on its own, and once
-with each template as zstandard's raw dictionary; templates are ranked by how much smaller they make the block. The
-best `tries` are then held against the block word by word (lower case, punctuation left out), and the one with the
-fewest differing words wins, if these are at most max_differing of the template's words. The differences are returned
-as they stand: "-word" for one that the block lacks, "+word" for one that it has beside the template.
-
-A block is found wherever its template's words stand in the line, so words before and after the template in the same
-line aren't differences. One row comes back for each confirmed block; texts without one, null and empty texts have
-none. Repeated rows have their rows repeated, null ids stay null. Whole texts are read.
+Candidate blocks are windows of words around each of the TRIGGERS, to either side as many as the longest template may
+take with max_differing of its words added; line breaks and comment marks are no words. Templates of whose words more
+than max_differing are not in the block are out; the others are ranked by how much smaller they make the block, which
+is compressed on its own, and once with each template as zstandard's raw dictionary. The best `tries` are then held
+against the block word by word (lower case, punctuation left out), and the one with the fewest differing words wins, if
+these are at most max_differing of the template's words. The differences are returned as they stand: "-word" for one
+that the block lacks, "+word" for one that it has beside the template.
+
+A notice is found wherever its template's words stand, so words before and after aren't differences. Its words are then
+taken, and the rest of the window is judged again, so every notice comes back that doesn't overlap a better one. One
+row comes back for each: line is that of its first word, block its lines as they stand (of lines that go on for more
+than a window before or after it, only that much), reduction that of the block. Texts without a notice, null and empty
+texts have no row. Repeated rows have their rows repeated, null ids stay null. Whole texts are read.
 """
 
 from __future__ import annotations
 
-import difflib
+import math
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +30,7 @@ from pyspark.sql import functions as F
 from docmill.llm.common import slices
 
 TRIGGERS = re.compile(r"licen[cs]e|copyright|permission|warrant|public domain|redistribut", re.IGNORECASE)
-_WORD = re.compile(r"[a-z0-9.\-]*[a-z0-9]")
+_RUN = re.compile(r"[A-Za-z0-9.\-]+")
 
 #: The wording of common notices.
 TEMPLATES = {
@@ -43,20 +49,41 @@ TEMPLATES = {
 }
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def placed_words(text: str) -> tuple[list[str], list[int]]:
+    """Words in lower case, and where each starts."""
+    words, starts = [], []
+    for run in _RUN.finditer(text):
+        if word := run[0].strip(".-"):
+            words.append(word.lower())
+            starts.append(run.start() + run[0].index(word))
+    return words, starts
 
 
-def differences(template: list[str], block: list[str]) -> list[str]:
-    """What the part of the block that the template covers has otherwise."""
-    ops = difflib.SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
-    out = []
-    for k, (kind, i, j, m, n) in enumerate(ops):
-        if kind != "equal":
-            out += [f"-{w}" for w in template[i:j]]
-            if 0 < k < len(ops) - 1:  # what stands before or behind is not the template's
-                out += [f"+{w}" for w in block[m:n]]
-    return out
+def words_of(text: str) -> list[str]:
+    return placed_words(text)[0]
+
+
+def aligned(template: list[str], block: list[str]) -> tuple[list[str], int, int]:
+    """The fewest differences between the template and any part of the block, and where that part starts and ends."""
+    n = len(block)
+    rows = [[0] * (n + 1)]
+    for i, w in enumerate(template, 1):
+        above, row = rows[-1], [i]
+        for j in range(n):
+            row.append(above[j] if block[j] == w else min(above[j + 1], row[j]) + 1)
+        rows.append(row)
+    end = j = min(range(n + 1), key=rows[-1].__getitem__)
+    i, out = len(template), []
+    while i:
+        if j and block[j - 1] == template[i - 1]:
+            i, j = i - 1, j - 1
+        elif rows[i][j] == rows[i - 1][j] + 1:
+            i -= 1
+            out.append(f"-{template[i]}")
+        else:
+            j -= 1
+            out.append(f"+{block[j]}")
+    return out[::-1], j, end
 
 
 class Scanner:
@@ -64,23 +91,59 @@ class Scanner:
         import zstandard
 
         self.names, self.words = list(templates), [words_of(t) for t in templates.values()]
+        self.bags = [Counter(w) for w in self.words]
         plain = {"level": level, "write_content_size": False, "write_checksum": False}
         self.alone = zstandard.ZstdCompressor(**plain).compress
         self.given = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **plain).compress for t in templates.values()]
         self.tries, self.max_differing = tries, max_differing
+        self.reach = math.ceil((1 + max_differing) * max(map(len, self.words), default=0))
 
-    def judge(self, block: str) -> tuple[str, float, list[str]] | None:
-        """License, size reduction and differences of the winner."""
+    def gain(self, i: int, block: str) -> float:
         raw = block.lower().encode()
-        size = len(self.alone(raw))
-        gains = sorted(((1 - len(pack(raw)) / size, -i) for i, pack in enumerate(self.given)), reverse=True)[: self.tries]
-        words, best = words_of(block), None
-        for gain, i in gains:
-            differing = differences(self.words[-i], words)
-            if len(differing) <= self.max_differing * len(self.words[-i]) and (best is None or len(differing) < len(best[2])):
-                best = self.names[-i], gain, differing
+        return 1 - len(self.given[i](raw)) / len(self.alone(raw))
+
+    def _best(self, words: list[str], block: str) -> tuple[int, list[str], int, int] | None:
+        """Number of the winner, its differences, and the first and last of the words that it covers."""
+        bag, best = Counter(words), None
+        likely = [i for i, own in enumerate(self.bags) if (own - bag).total() <= self.max_differing * len(self.words[i])]
+        for _, i in sorted(((self.gain(i, block), -i) for i in likely), reverse=True)[: self.tries]:
+            differing, start, end = aligned(self.words[-i], words)
+            if start < end and len(differing) <= self.max_differing * len(self.words[-i]) and (best is None or len(differing) < len(best[1])):
+                best = -i, differing, start, end
         return best
 
+    def judge(self, block: str) -> tuple[str, float, list[str]] | None:
+        """License, size reduction and differences of the winner."""
+        found = self._best(words_of(block), block)
+        return found and (self.names[found[0]], self.gain(found[0], block), found[1])
+
+    def notices(self, text: str) -> list[tuple[int, str, str, float, list[str]]]:
+        """line, block, license, size reduction and differences of each notice, from the first to the last."""
+        words, starts = placed_words(text)
+        ends = [a + len(w) for a, w in zip(starts, words, strict=True)]
+        breaks = [m.start() for m in re.finditer("\n", text)]
+        taken, out = bytearray(len(words)), []
+        for t in sorted({max(bisect_right(starts, m.start()) - 1, 0) for m in TRIGGERS.finditer(text)} if words else ()):
+            while not taken[t]:
+                lo = max(t - self.reach, taken.rfind(1, 0, t) + 1)
+                hi = taken.find(1, t, t + self.reach + 1)
+                hi = min(t + self.reach + 1, len(words)) if hi < 0 else hi
+                found = self._best(words[lo:hi], text[starts[lo] : ends[hi - 1]])
+                if not found:
+                    break
+                i, differing, a, b = found[0], found[1], lo + found[2], lo + found[3]
+                taken[a:b] = b"\1" * (b - a)
+                first, last = bisect_right(breaks, starts[a]), bisect_right(breaks, starts[b - 1])
+                left = breaks[first - 1] + 1 if first else 0
+                right = breaks[last] if last < len(breaks) else len(text)
+                if a > self.reach:
+                    left = max(left, starts[a - self.reach])
+                if b + self.reach < len(words):
+                    right = min(right, ends[b + self.reach])
+                block = text[left:right]
+                out.append((a, (first, block, self.names[i], self.gain(i, block), differing)))
+        return [x for _, x in sorted(out, key=lambda x: x[0])]
+
 
 def scan(documents: DataFrame, templates: dict[str, str] | None = None, *, id_col: str = "doc_id", text_col: str = "text", level: int = 19, tries: int = 3, max_differing: float = 0.25) -> DataFrame:
     """id_col, line (from 0), block, license, reduction, n_differing, differences."""
@@ -94,10 +157,9 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, *, id_co
             for i, text in enumerate(batch.column("text").to_pylist()):
                 if not text or not TRIGGERS.search(text):
                     continue
-                for k, line in enumerate(text.split("\n")):
-                    if TRIGGERS.search(line) and (found := scanner.judge(line)):
-                        for name, value in zip(rows, (i, k, line, found[0], found[1], len(found[2]), found[2]), strict=True):
-                            rows[name].append(value)
+                for *found, differing in scanner.notices(text):
+                    for name, value in zip(rows, (i, *found, len(differing), differing), strict=True):
+                        rows[name].append(value)
             ids = batch.column("id").take(pa.array(rows.pop("row"), pa.int64()))
             types = [pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, t) for v, t in zip(rows.values(), types, strict=True))], names=["id", *rows])

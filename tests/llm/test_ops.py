@@ -109,6 +109,25 @@ def test_licenses(spark, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_notices_over_several_lines_and_several_in_one():
+    t = license_scan.TEMPLATES
+    found = license_scan.Scanner(t, 19, 3, 0.25).notices
+    rng = random.Random(3)
+    for name, text in t.items():
+        for width, mark in ((20, "# "), (35, " * "), (60, "//"), (45, "-- "), (1000, "")):
+            lines, words = [""], text.split()
+            for w in words:
+                lines = [*lines[:-1], f"{lines[-1]} {w}".strip()] if len(lines[-1]) + len(w) < width else [*lines, w]
+            head = "".join(f"{' '.join('ab' * rng.randrange(1, 4) for _ in range(9))}\n" for _ in range(3))
+            got = found(head + "\n".join(mark + x for x in lines) + "\nand then the code\n")
+            assert [(r[0], r[2], r[4]) for r in got] == [(3 + (not lines[0]), name, [])] and all(w in got[0][1] for w in words)
+    both = f"{t['MIT']} So it is. {t['Apache-2.0']} {t['MIT-text']}"
+    assert [(r[0], r[2], r[4]) for r in found(both)] == [(0, n, []) for n in ("MIT", "Apache-2.0", "MIT-text")]
+    assert [r[2] for r in found(f"{t['MIT']}\n" * 3 + t["BSD"].replace("source", "any").replace(" with ", "\nwith "))] == ["MIT"] * 3 + ["BSD"]
+    long = found("word " * 5000 + t["ISC"] + " word" * 5000)
+    assert len(long) == 1 and t["ISC"] in long[0][1] and len(long[0][1]) < 1000 and found("license ..." + "." * 50_000) == []
+
+
 def test_every_template_finds_itself():
     scanner = license_scan.Scanner(license_scan.TEMPLATES, 19, 3, 0.25)
     for name, text in license_scan.TEMPLATES.items():
