@@ -3,9 +3,10 @@
 Candidate blocks are windows of words around each of the TRIGGERS, to either side as many as the longest template may
 take with max_differing of its words added; line breaks and comment marks are no words. Templates of whose words more
 than max_differing are not in the block are out; the others are ranked by how much smaller they make the block, which
-is compressed on its own, and once with each template as zstandard's raw dictionary. The best `tries` are then held
+is compressed on its own, and once with each template as zstandard's raw dictionary. In this order they are then held
 against the block word by word (lower case, punctuation left out), and the one with the fewest differing words wins, if
-these are at most max_differing of the template's words. The differences are returned as they stand: "-word" for one
+these are at most max_differing of the template's words; of equal ones the first. Behind the best `tries`, templates that
+lack as many words in the block as the best so far differs in are passed over, as they can't win. The differences are returned as they stand: "-word" for one
 that the block lacks, "+word" for one that it has beside the template.
 
 A notice is found wherever its template's words stand, so words before and after aren't differences. Its words are then
@@ -105,8 +106,11 @@ class Scanner:
     def _best(self, words: list[str], block: str) -> tuple[int, list[str], int, int] | None:
         """Number of the winner, its differences, and the first and last of the words that it covers."""
         bag, best = Counter(words), None
-        likely = [i for i, own in enumerate(self.bags) if (own - bag).total() <= self.max_differing * len(self.words[i])]
-        for _, i in sorted(((self.gain(i, block), -i) for i in likely), reverse=True)[: self.tries]:
+        lacking = [(own - bag).total() for own in self.bags]
+        likely = [i for i, n in enumerate(lacking) if n <= self.max_differing * len(self.words[i])]
+        for k, (_, i) in enumerate(sorted(((self.gain(i, block), -i) for i in likely), reverse=True)):
+            if k >= self.tries and best and lacking[-i] >= len(best[1]):
+                continue
             differing, start, end = aligned(self.words[-i], words)
             if start < end and len(differing) <= self.max_differing * len(self.words[-i]) and (best is None or len(differing) < len(best[1])):
                 best = -i, differing, start, end

@@ -128,6 +128,14 @@ def test_notices_over_several_lines_and_several_in_one():
     assert len(long) == 1 and t["ISC"] in long[0][1] and len(long[0][1]) < 1000 and found("license ..." + "." * 50_000) == []
 
 
+def test_exact_wording_among_many_siblings():
+    tail = "of the Example Public License as published by the Example Foundation for all works of this kind."
+    siblings = {f"v{i}": f"You may use this under version {i} {tail}" for i in range(10, 40)}
+    scanner = license_scan.Scanner(siblings, 19, 3, 0.25)
+    for name, text in siblings.items():
+        assert scanner.judge(f"Not of the {' of the '.join(f'under version {i} {tail[:12]}' for i in range(10, 40))}. {text}")[0::2] == (name, [])
+
+
 def test_every_template_finds_itself():
     scanner = license_scan.Scanner(license_scan.TEMPLATES, 19, 3, 0.25)
     for name, text in license_scan.TEMPLATES.items():
