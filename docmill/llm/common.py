@@ -23,9 +23,12 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local master gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='docmill-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -39,17 +42,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands its Python workers 512 rows or 4 MB at once at most, where it allowed more: batches of
+    long texts stay small on both sides."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= 512:
+        spark.conf.set(rows, 512)
+    if spark.conf.get(size) == "67108864b":  # as Spark sets it
+        spark.conf.set(size, "4m")
+
+
+def kept_names(keep, own) -> list[str]:
+    """Names under which kept columns come back: with "_in" behind them where they are those of our columns."""
+    taken, out = {x.lower() for x in [*own, *keep]}, []
+    for name in keep:
+        new = name
+        while new.lower() in {x.lower() for x in own} or new != name and new.lower() in taken:
+            new += "_in"
+        taken.add(new.lower())
+        out.append(new)
+    return out
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; looks at no more than that."""
     return df.limit(rows + 1).count() <= rows
 
 
-def bit_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+def bit_filter(hashes: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
     """Bytes of a filter in which the bit pmod(h, bits) of each hash (one bigint column, h) is set.
 
-    Its size is fixed: the driver gets bits / 64 numbers at most, however many hashes there are. has_bit() may say yes
-    to a hash that isn't there, so what it lets through is still joined.
+    bits is 16 times the number of hashes, rounded up to a power of two, and most_bits at most (16 MB as it stands): that
+    is the most that is sent around, however many hashes there are. has_bit() may say yes to a hash that isn't there, so
+    what it lets through is still joined.
     """
+    bits = min(max(1 << 12, 1 << (16 * hashes.count()).bit_length()), most_bits)
     place = hashes.select(F.pmod("h", F.lit(bits)).alias("place"))
     words = place.groupBy(F.shiftright("place", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("mask"))
     out = np.zeros(bits // 64, np.int64)

@@ -1,18 +1,20 @@
 """Near-duplicate detection by min-max hashing: of each permutation both the minimum and the maximum are kept.
 
-A document's set holds the hashes of its distinct five-word shingles. 48 permutations give 96 values; two permutations
-make a band of four values, so documents with similarity s share one of the 24 bands but for (1 - s^4)^24 of them:
-2e-8 at 0.85. Every pair that is looked at is confirmed on the full sets.
+A document's set holds the hashes of its distinct five-word shingles. 96 permutations give 192 values; three permutations
+make a band of six values, so documents with similarity s share one of the 32 bands but for (1 - s^6)^32 of them:
+3e-7 at 0.85, 6e-5 at 0.8, and two of similarity 0.3 meet in one of 40 cases. Every pair that is looked at is confirmed
+on the full sets.
 
-Exact copies (equal sets) are one class from the start, known by their smallest id. Buckets of a band are never
+Exact copies (equal sets) are one class from the start, a node of the graph of links, whatever the ids of its rows. Buckets of a band are never
 expanded into pairs. First every member of a bucket is held against one pivot, and what is linked forms components.
 Buckets of more than BLOCK members that still hold several components get PIVOTS more pivots, ROUNDS times;
 members of a pivot's own component need no look. Buckets that are open after that are dealt into blocks, and pairs of
 blocks are compared set by set; that is the exact way for what the pivots leave. All that is gathered are links; components are joins of written tables.
 
 Null or empty texts have an empty set and are linked with nothing, not even with each other. Rows with a null id are
-returned on their own (component null, kept true). Rows that repeat an id should repeat its text. Other columns are
-left out; an empty table gives an empty result.
+returned on their own (component null, kept true). Rows that repeat an id are judged each by its own text; text_hash
+(xxhash64 of the text) tells them apart. Long texts are shingled whole, a few at a time. Other columns, of whatever name,
+are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,11 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import shingles
-from docmill.llm.common import bit_filter, has_bit, written
+from docmill.llm.common import bit_filter, has_bit, slices, small_batches, written
 from docmill.llm.components import components
 
-PERMUTATIONS, BANDS, BLOCK, ROUNDS, PIVOTS = 48, 24, 256, 1, 4
-FILTER_BITS = 1 << 24
+PERMUTATIONS, BANDS, BLOCK, ROUNDS, PIVOTS = 96, 32, 256, 3, 4
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _A = _rng.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64)
@@ -53,32 +54,38 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys
 
 
+def _content(s: np.ndarray) -> bytes | None:
+    """What equal sets have in common; None of an empty one."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         raw = [x or b"" for x in batch.column("text").to_pylist()]
         for lo, hi in shingles.in_parts(raw):
             sets = shingles.shingle_sets(raw[lo:hi])
             full = [s for s in sets if len(s)]
-            keys = iter(band_keys(full).view(np.int64)) if full else iter(())
-            ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            bands = [next(keys).tolist() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "same", "bands"])
+            keys = band_keys(full).view(np.int64).reshape(-1) if full else np.empty(0, np.int64)
+            ends = np.cumsum([0] + [BANDS * bool(len(s)) for s in sets])
+            bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))
+            own = [batch.column(c).slice(lo, hi - lo) for c in ("id", "text_hash")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_content, sets), pa.binary()), bands], names=["id", "text_hash", "n", "same", "bands"])
 
 
-def _sets_of(texts: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
-    """id, set of the wanted ids. A filter of fixed size drops most other texts where they are read, the join the rest."""
-    held = texts.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.xxhash64("id").alias("h")), FILTER_BITS))
+def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, set of the wanted (rep, same, id). A filter of bounded size drops most other texts where they are read, the join the rest."""
+    held = texts.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.xxhash64("rep").alias("h"))))
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             batch = batch.filter(pa.array([has_bit(held.value, h) for h in batch.column("h").to_pylist()], pa.bool_()))
             raw = [x or b"" for x in batch.column("text").to_pylist()]
             for lo, hi in shingles.in_parts(raw):
-                sets = [s.tobytes() for s in shingles.shingle_sets(raw[lo:hi])]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["id", "set"])
+                sets = shingles.shingle_sets(raw[lo:hi])
+                yield pa.RecordBatch.from_arrays([pa.array(map(_content, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["same", "set"])
 
-    sets = texts.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(with_sets, f"id {kind}, set binary")
-    return sets.join(wanted, "id").dropDuplicates(["id"])
+    sets = texts.select("text", F.xxhash64("id").alias("h")).mapInArrow(with_sets, "same binary, set binary")
+    return sets.join(wanted.select("same", "id"), "same").dropDuplicates(["id"]).select("id", "set")
 
 
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -96,14 +103,13 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) that are alike."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 128):
             xs, ys = batch.column("x"), batch.column("y")
             good = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(xs, ys, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    kind = pairs.schema["a"].dataType.simpleString()
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(confirm, f"a {kind}, b {kind}")
+    return full.select("a", "b", "x", "y").mapInArrow(confirm, "a bigint, b bigint")
 
 
 def _compare_blocks(open_members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -112,7 +118,6 @@ def _compare_blocks(open_members: DataFrame, sets: DataFrame, percent: int) -> D
     open_members: key, id, label, n (members of the bucket). Every member goes to all pairs of blocks that its block is
     in, so that each two members meet once or more, in groups of 2 * BLOCK on average.
     """
-    kind = open_members.schema["id"].dataType.simpleString()
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = open_members.withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -145,11 +150,11 @@ def _compare_blocks(open_members: DataFrame, sets: DataFrame, percent: int) -> D
         id_type = group.schema.field("id").type
         return pa.table([pa.array(a, id_type), pa.array(b, id_type)], names=["a", "b"])
 
-    return dealt.join(sets, "id").groupBy("key", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
+    return dealt.join(sets, "id").groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
-def _finish(buckets: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """All links that matter, and their components: first more pivots for the large buckets, then pairs of blocks."""
+def _finish(buckets: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """The components of all links: first more pivots for the large buckets, then pairs of blocks."""
     labels = components(links)
     open_ = buckets.filter("n > 2").select("key", "id", "n")
     for k in range(ROUNDS + 1):
@@ -167,30 +172,35 @@ def _finish(buckets: DataFrame, sets: DataFrame, links: DataFrame, percent: int)
     if not labelled.isEmpty():
         links = links.union(written(_compare_blocks(labelled.select("key", "id", "label", "n"), sets, percent), "links"))
         labels = components(links)
-    return links, labels
+    return labels
 
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """Per document: id_col, n_shingles, component_id, kept. Linked where 100 * |both| >= percent * |either|."""
+    """Per document: id_col, n_shingles, component_id, kept, text_hash. Linked where 100 * |both| >= percent * |either|."""
+    small_batches(documents.sparkSession)
     kind = documents.schema[id_col].dataType.simpleString()
-    texts = documents.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
-    signed = written(texts.mapInArrow(_signed, f"id {kind}, n bigint, same binary, bands array<bigint>"), "signed")
+    texts = documents.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    signed = texts.mapInArrow(_signed, f"id {kind}, text_hash bigint, n bigint, same binary, bands array<bigint>")
+    signed = written(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
     some = signed.filter("same is not null and id is not null")
-    classes = written(some.groupBy("same").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "classes")
+    classes = written(some.groupBy("same").agg(F.min("id").alias("rep"), F.min_by("row", "id").alias("id"), F.min_by("bands", "id").alias("bands")), "classes")
 
-    members = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
+    members = classes.select(F.explode("bands").alias("key"), "id")
     who = [F.sum(F.xxhash64("id", F.lit(seed)).cast("decimal(20,0)")).alias(f"who_{seed}") for seed in (1, 2)]
     shared = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n"), *who).filter("n > 1")
     shared = shared.groupBy("pivot", "n", "who_1", "who_2").agg(F.min("key").alias("key"))  # one of the bands that hold the same members
     buckets = written(members.join(shared.select("key", "pivot", "n"), "key"), "buckets")
     pairs = written(buckets.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = written(_sets_of(texts, written(wanted, "wanted"), kind), "sets")
+    sets = written(_sets_of(texts, written(wanted.join(classes.select("id", "rep", "same"), "id"), "wanted")), "sets")
     links = written(_confirm(pairs, sets, percent), "links")
-    labels = components(links)
 
-    links, labels = _finish(buckets, sets, links, percent)
+    labels = _finish(buckets, sets, links, percent)
 
-    by_class = classes.join(labels, F.col("rep") == F.col("v"), "left").select("same", F.coalesce("label", "rep").alias("label"))
-    out = signed.select("id", "n", "same").join(by_class, "same", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"), F.coalesce(F.coalesce("label", "id") == F.col("id"), F.lit(True)).alias("kept"))
+    named = labels.join(classes.select(F.col("id").alias("v"), "rep", "same"), "v")
+    smallest = named.groupBy("label").agg(F.min("rep").alias("least"))
+    by_class = classes.select("same", "rep").join(named.join(smallest, "label").select(F.col("same").alias("linked"), "least"), F.col("same") == F.col("linked"), "left")
+    by_class = by_class.select("same", F.coalesce("least", "rep").alias("label"))
+    out = signed.select("id", "n", "same", "text_hash").join(by_class, "same", "left")
+    label = F.coalesce("label", "id")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), label).alias("component_id"), F.coalesce(label == F.col("id"), F.lit(True)).alias("kept"), "text_hash")

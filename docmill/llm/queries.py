@@ -37,7 +37,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docmill.llm.near_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("text_hash")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

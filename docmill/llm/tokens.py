@@ -146,6 +146,12 @@ class Pieces:
         return self.encode_all([text])[0]
 
 
+@functools.lru_cache(8)
+def width_of(path: str) -> int:
+    """Bytes that an id of the file takes: 2, or 4 for vocabularies beyond that."""
+    return 2 if Pieces(path).library.get_vocab_size() <= 1 << 16 else 4
+
+
 @functools.lru_cache(2)
 def pieces(path: str, width: int = 2) -> Pieces:
     """One for each worker, kept between tasks."""
