@@ -4,17 +4,18 @@ A table is a Parquet dataset, so that it can be written to and read from any sto
 commit protocol: a task that is lost or runs twice leaves nothing behind. Its rows are segments of whole documents:
 
     part, segment      order of the segments; documents ascend by id through them (null ids first)
+    before             ids of the part's segments before this one
     width, block       bytes of an id; ids of a block (the last of a segment may have fewer)
     doc_ids, lengths   the documents of the segment and their numbers of ids
     offsets            the chunk index: for each block and plane the end of its bytes in planes
     planes             plane 0 of block 0 (the lowest bytes of its ids), plane 1 of block 0, ..., each a zstandard frame
 
 A segment closes at SEGMENT ids, so memory is bounded by that or by the longest document. The ids before a document
-are counted from segments' totals: inside a part by a window, between parts by their totals, of which there are as
-many as write tasks.
+are those before its segment in the part, which the segment holds, and those of the parts before, whose totals are
+broadcast: a row for each write task, which the driver has scheduled one by one before.
 
 Null texts are encoded as empty ones, and have the end id. Repeated rows and null ids are kept, one for each row; rows
-with equal ids stand in order of their text.
+with equal ids stand in order of their text. Other columns, of whatever name, are left out. An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.llm import tokens
-from docmill.llm.common import slices
+from docmill.llm.common import slices, small_batches
 
 BLOCK, SEGMENT, LEVEL = 1 << 16, 1 << 20, 3
-FIELDS = "part int, segment int, width int, block int, doc_ids array<bigint>, lengths array<bigint>, offsets array<bigint>, planes binary"
+FIELDS = "part int, segment int, before bigint, width int, block int, doc_ids array<bigint>, lengths array<bigint>, offsets array<bigint>, planes binary"
 
 
 def pack(ids: np.ndarray, block: int = BLOCK, level: int = LEVEL) -> tuple[bytes, list[int]]:
@@ -62,7 +63,8 @@ def unpack(planes: bytes, ends: list[int], width: int) -> np.ndarray:
 
 def write_token_planes(documents: DataFrame, target: str, tokenizer: str, *, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every text, appends end_id, and writes a token table to target."""
-    width = 2 if tokens.Pieces(tokenizer).library.get_vocab_size() <= 1 << 16 else 4
+    small_batches(documents.sparkSession)
+    width = tokens.width_of(tokenizer)
     texts = documents.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     # the text only parts rows with one id, so that repeated ids can't fill a task
     ordered = texts.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
@@ -72,13 +74,13 @@ def write_token_planes(documents: DataFrame, target: str, tokenizer: str, *, end
 
         piece, part = tokens.pieces(tokenizer, width), TaskContext.get().partitionId()
         end = b"" if end_id is None else np.asarray([end_id], piece.kind).tobytes()
-        doc_ids, rows, lengths, held, segment = [], [], [], 0, 0
+        doc_ids, rows, lengths, held, segment, before = [], [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
             planes, ends = pack(np.frombuffer(b"".join(rows), piece.kind))
-            values = [[part], [segment], [width], [BLOCK], [doc_ids], [lengths], [ends], [planes]]
-            types = [pa.int32()] * 4 + [pa.list_(pa.int64())] * 3 + [pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=["part", "segment", "width", "block", "doc_ids", "lengths", "offsets", "planes"])
+            values = [[part], [segment], [before], [width], [BLOCK], [doc_ids], [lengths], [ends], [planes]]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()] + [pa.list_(pa.int64())] * 3 + [pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=["part", "segment", "before", "width", "block", "doc_ids", "lengths", "offsets", "planes"])
 
         for batch in slices(batches):
             for i, ids in zip(batch.column("id").to_pylist(), piece.encode_all(batch.column("text").to_pylist()), strict=True):
@@ -86,7 +88,7 @@ def write_token_planes(documents: DataFrame, target: str, tokenizer: str, *, end
                 held += lengths[-1]
                 if held >= SEGMENT:
                     yield close()
-                    doc_ids, rows, lengths, held, segment = [], [], [], 0, segment + 1
+                    doc_ids, rows, lengths, held, segment, before = [], [], [], 0, segment + 1, before + held
         if doc_ids:
             yield close()
 
@@ -95,28 +97,24 @@ def write_token_planes(documents: DataFrame, target: str, tokenizer: str, *, end
 
 def read_token_planes(spark: SparkSession, target: str, *, id_col: str = "doc_id") -> DataFrame:
     """Per document: id_col, start (ids of all documents before it), n_tokens, ids (binary, little-endian of width bytes), width."""
+    small_batches(spark)
     table = spark.read.schema(FIELDS).parquet(target)
-    totals = table.select("part", "segment", F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("n"))
-    parts = totals.groupBy("part").agg(F.sum("n").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select(F.col("part").alias("p"), before.alias("before"))  # a row for each write task
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.withColumn("inside", inside).join(F.broadcast(parts), F.col("part") == F.col("p"))
-    starts = starts.select(F.col("part").alias("p"), F.col("segment").alias("s"), (F.col("inside") + F.col("before")).alias("start"))
+    parts = table.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, n: a + n)).alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(F.col("part").alias("p"), earlier.alias("earlier"))  # a row for each write task
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = unpack(row["planes"], row["offsets"], row["width"])
-                ends = np.cumsum(np.asarray(row["lengths"], np.int64))
-                firsts = ends - np.asarray(row["lengths"], np.int64)
-                data = [ids[i:j].tobytes() for i, j in zip(firsts.tolist(), ends.tolist(), strict=True)]
-                n = len(data)
-                yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * n, pa.int32()), pa.array([row["segment"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(firsts), pa.array(row["lengths"], pa.int64()), pa.array(data, pa.binary()), pa.array([row["width"]] * n, pa.int32())], names=["part", "segment", "id", "first", "n_tokens", "ids", "width"])
-
-    docs = table.mapInArrow(decode, "part int, segment int, id bigint, first bigint, n_tokens bigint, ids binary, width int")
-    docs = docs.join(F.broadcast(starts), (F.col("part") == F.col("p")) & (F.col("segment") == F.col("s")))  # a row for each million ids
-    return docs.select(F.col("id").alias(id_col), (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids", "width")
+        for batch in slices(batches, 1):
+            row = batch.to_pylist()[0]
+            ids = unpack(row["planes"], row["offsets"], row["width"])
+            ends = np.cumsum(np.asarray(row["lengths"], np.int64))
+            firsts = ends - np.asarray(row["lengths"], np.int64)
+            data = [ids[i:j].tobytes() for i, j in zip(firsts.tolist(), ends.tolist(), strict=True)]
+            n = len(data)
+            yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(firsts + row["before"]), pa.array(row["lengths"], pa.int64()), pa.array(data, pa.binary()), pa.array([row["width"]] * n, pa.int32())], names=["part", "id", "first", "n_tokens", "ids", "width"])
+
+    docs = table.mapInArrow(decode, "part int, id bigint, first bigint, n_tokens bigint, ids binary, width int").join(F.broadcast(parts), F.col("part") == F.col("p"))
+    return docs.select(F.col("id").alias(id_col), (F.col("first") + F.col("earlier")).alias("start"), "n_tokens", "ids", "width")
 
 
 def with_crc32(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id", "start", "n_tokens")) -> DataFrame:
