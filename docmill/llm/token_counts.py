@@ -3,11 +3,11 @@
 Documents are aggregated by the number of their ids; everything else follows from suffix sums over the histogram. For
 a context limit L: documents of at least L ids, their ids, and the ids left when each document is cut at L
 (sum of min(length, L) = ids of the shorter ones + L * documents of L or more). The share of documents of at most L
-ids gives every quantile. The sums run inside spans of SPAN lengths, and over the totals of the spans, so no task sees
-more than SPAN lengths or one row a span.
+ids gives every quantile. The histogram is written once, so that texts are encoded once. The sums run inside spans of
+SPAN lengths, and over the totals of the spans, so no task sees more than SPAN lengths or one row a span.
 
-Null texts are empty: length 0. Repeated rows count as often as they come; ids and other columns aren't looked at. An
-empty table has no rows.
+Null texts are empty: length 0. Repeated rows count as often as they come; ids and other columns, of whatever name, aren't
+looked at. An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -19,25 +19,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.llm import tokens
-from docmill.llm.common import slices
+from docmill.llm.common import slices, small_batches, written
 
 SPAN = 1024
 
 
 def token_lengths(documents: DataFrame, tokenizer: str, *, text_col: str = "text") -> DataFrame:
     """n_tokens of every row."""
+    small_batches(documents.sparkSession)
+    width = tokens.width_of(tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.pieces(tokenizer, 2).encode
+        encode = tokens.pieces(tokenizer, width).encode
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([len(encode(x.as_py() or "")) // 2 for x in batch.column(0)], pa.int64())], names=["n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(encode(x.as_py() or "")) // width for x in batch.column(0)], pa.int64())], names=["n_tokens"])
 
     return documents.select(F.col(text_col).alias("text")).mapInArrow(count, "n_tokens bigint")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
     """Per length that occurs: n_tokens, n_docs, docs_at_least, tokens_at_least, truncated_total, share_at_most."""
-    hist = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("span", F.floor(F.col("n_tokens") / SPAN))
+    hist = written(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "histogram").withColumn("span", F.floor(F.col("n_tokens") / SPAN))
     hist = hist.withColumn("ids", F.col("n_tokens") * F.col("n_docs"))
     totals = hist.groupBy("span").agg(F.sum("n_docs").alias("span_docs"), F.sum("ids").alias("span_ids"))
     later = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each SPAN lengths
