@@ -5,16 +5,18 @@ stand. Of a chunk, the core is what lies between its first and its last certain
 character, where a byte-level tokenizer ends a pre-token whatever stands around. A core's ids are the same in every
 text; what lies between two cores is a join.
 
-1. One pass hashes all cores; those that occur twice or more set a bit in a filter of fixed size (filter_bits).
-2. Texts with a core in the filter are written and reduced to distinct ones; a full filter only sends more texts that
-   way. All other texts are encoded where they are read.
-3. Of these, each core that several places share is encoded once, in the text with the smallest key that holds it, and
+1. One pass cuts every text and writes the hashes of the text and of its cores. Cores that occur twice or more set a
+   bit in a filter, and so do the hashes of texts that have one. The filters have 16 bits for each hash, up to a bound
+   beyond which they let more through; what they let through is held together by exact hashes.
+2. Texts in the second filter are reduced to distinct ones and written. All others are encoded where they are read.
+3. Of these, each core that several texts share is encoded once, in the text with the smallest key that holds it, and
    its ids are joined to every place.
 4. Joins are repaired: the text from the end of one core to the start of the next that has ids is encoded as one. Both
    ends are certain cuts, so the ids agree exactly with those of the whole text; where a chunk has no core, the
    repaired span grows over it.
 
-Null texts are encoded as empty ones. One row comes back for each row of documents, repeated rows, null ids and all.
+Null texts are encoded as empty ones, long ones whole. One row comes back for each row of documents, repeated rows, null
+ids and all; other columns, of whatever name, are left out, and an empty table has no rows.
 Tokenizers other than byte-level ones without prefix blank are refused, as nothing is known of their cuts.
 """
 
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import tokens
-from docmill.llm.common import bit_filter, has_bit, slices, written
+from docmill.llm.common import bit_filter, has_bit, slices, small_batches, written
 
 CUT_BITS, LEAST_CORE = 10, 64
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -59,15 +61,14 @@ def _hash(x: bytes) -> bytes:
     return hashlib.blake2b(x, digest_size=16).digest()
 
 
-def _core_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        out = [int.from_bytes(_hash(raw[s:e])[:8], "little", signed=True) for raw in batch.column("raw").to_pylist() if raw for s, e in cores(raw)]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["h"])
+def _short(h: bytes) -> int:
+    return int.from_bytes(h[:8], "little", signed=True)
 
 
-def _shared(texts: DataFrame, bits: int) -> np.ndarray:
-    """A filter of the core hashes that occur twice or more."""
-    return bit_filter(texts.select("raw").mapInArrow(_core_hashes, "h bigint").groupBy("h").count().filter("count > 1").select("h"), bits)
+def _bits_of(hashes: list[int], held: np.ndarray) -> np.ndarray:
+    """Whether the filter has each of them."""
+    place = np.asarray(hashes, np.int64) % (8 * len(held))
+    return (held[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def _joined(raw: bytes, spans: list[tuple[int, int]], have: dict[bytes, bytes], encode) -> bytes:
@@ -85,33 +86,57 @@ def _joined(raw: bytes, spans: list[tuple[int, int]], have: dict[bytes, bytes],
     return b"".join(out)
 
 
-def encode_documents(documents: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 24) -> DataFrame:
+def encode_documents(documents: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, ids (binary: unsigned 16-bit little-endian ids, 32-bit for vocabularies beyond that), one row for each row."""
-    check = tokens.Pieces(path)
-    if check.blank != " ":
+    if tokens.Pieces(path).blank != " ":
         raise ValueError("chunks are reused with byte-level tokenizers only")
-    width = 2 if check.library.get_vocab_size() <= 1 << 16 else 4
+    small_batches(documents.sparkSession)
+    width = tokens.width_of(path)
     kind = documents.schema[id_col].dataType.simpleString()
     texts = documents.select(F.col(id_col).alias("id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("raw"))
-    held = documents.sparkSession.sparkContext.broadcast(_shared(texts, filter_bits))
+    send = documents.sparkSession.sparkContext.broadcast
 
-    def shared_cores(raw: bytes, bits: np.ndarray) -> list[bytes]:
-        hashes = [_hash(raw[s:e]) for s, e in cores(raw)]
-        return hashes if any(has_bit(bits, int.from_bytes(h[:8], "little", signed=True)) for h in hashes) else []
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            raws = batch.column("raw").to_pylist()
+            found = [[_short(_hash(raw[s:e])) for s, e in cores(raw)] for raw in raws]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(_hash, raws), pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "key", "cores"])
+
+    chunks = written(texts.mapInArrow(cut, f"id {kind}, key binary, cores array<bigint>"), "chunks")
+    repeated = chunks.select(F.explode("cores").alias("h")).groupBy("h").count().filter("count > 1").select("h")
+    shared = send(bit_filter(written(repeated, "repeated")))
+
+    def with_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array([bool(len(x)) and bool(_bits_of(x, shared.value).any()) for x in batch.column("cores").to_pylist()], pa.bool_())).select(["key"])
+
+    sharing = chunks.select("key", "cores").mapInArrow(with_shared, "key binary").distinct()
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_short(k) for k in batch.column("key").to_pylist()], pa.int64())], names=["h"])
+
+    aside = send(bit_filter(written(sharing.mapInArrow(short, "h bigint"), "sharing")))
+
+    def is_aside(keys: list[bytes]) -> np.ndarray:
+        return _bits_of([_short(k) for k in keys], aside.value) if keys else np.empty(0, bool)
 
     def set_aside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [shared_cores(raw, held.value) for raw in batch.column("raw").to_pylist()]
-            keep = pa.array([bool(x) for x in found], pa.bool_())
-            batch, found = batch.filter(keep), [x for x in found if x]
             keys = [_hash(raw) for raw in batch.column("raw").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.binary()))], names=["id", "raw", "key", "cores"])
+            keep = is_aside(keys)
+            raws = batch.column("raw").filter(pa.array(keep))
+            found = [[_hash(raw[s:e]) for s, e in cores(raw)] for raw in raws.to_pylist()]
+            yield pa.RecordBatch.from_arrays([raws, pa.array([k for k, x in zip(keys, keep, strict=True) if x], pa.binary()), pa.array(found, pa.list_(pa.binary()))], names=["raw", "key", "cores"])
+
+    def places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(is_aside(batch.column("key").to_pylist())))
 
     def encode_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.pieces(path, width).encode
         for batch in slices(batches):
-            keep = pa.array([not shared_cores(raw, held.value) for raw in batch.column("raw").to_pylist()], pa.bool_())
-            batch = batch.filter(keep)
+            batch = batch.filter(pa.array(~is_aside([_hash(raw) for raw in batch.column("raw").to_pylist()])))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([encode(raw.decode()) for raw in batch.column("raw").to_pylist()], pa.binary())], names=["id", "ids"])
 
     def encode_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,15 +159,15 @@ def encode_documents(documents: DataFrame, path: str, *, id_col: str = "doc_id",
                 out.append(_joined(raw, cores(raw), {x["core"]: x["ids"] for x in have or []}, encode))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.binary())], names=["key", "ids"])
 
-    aside = texts.mapInArrow(set_aside, f"id {kind}, raw binary, key binary, cores array<binary>")
-    distinct = written(aside.groupBy("key").agg(F.first("raw").alias("raw"), F.first("cores").alias("cores")), "texts")
+    found = texts.select("raw").mapInArrow(set_aside, "raw binary, key binary, cores array<binary>")
+    distinct = written(found.groupBy("key").agg(F.first("raw").alias("raw"), F.first("cores").alias("cores")), "texts")
     places = distinct.select("key", F.explode("cores").alias("core"))
     owners = places.groupBy("core").agg(F.min("key").alias("key"), F.count("*").alias("n")).filter("n > 1")
     own = owners.groupBy("key").agg(F.collect_list("core").alias("own"))
     encoded = written(distinct.select("key", "raw").join(own, "key").select("raw", "own").mapInArrow(encode_own, "core binary, ids binary"), "cores")
     have = places.distinct().join(encoded, "core").groupBy("key").agg(F.collect_list(F.struct("core", "ids")).alias("have"))
     repaired = distinct.select("key", "raw").join(have, "key", "left").select("key", "raw", "have").mapInArrow(repair, "key binary, ids binary")
-    back = aside.select("id", "key").join(repaired, "key").select("id", "ids")
+    back = chunks.select("id", "key").mapInArrow(places_of, f"id {kind}, key binary").join(repaired, "key").select("id", "ids")
     return texts.mapInArrow(encode_rest, f"id {kind}, ids binary").unionByName(back).withColumnRenamed("id", id_col)
 
 
@@ -150,7 +175,8 @@ def decode_ids(encoded: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_i
     """keep, ids_col, n_tokens, ids_sha256 (of the decimal ids, joined by commas), text (as the library's decode, special tokens included)."""
     names = [*keep, ids_col]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*names).schema)
-    width = 2 if tokens.Pieces(path).library.get_vocab_size() <= 1 << 16 else 4
+    small_batches(encoded.sparkSession)
+    width = tokens.width_of(path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = tokens.pieces(path, width).bytes_of
