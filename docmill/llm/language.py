@@ -1,20 +1,18 @@
 """Language ID by compression: the language whose text, as zstandard's raw dictionary, makes a document smallest.
 
-Fitting is bounded: docs_per_lang training rows for each language (those with the smallest hash of their id), of whose
-whole texts the first dict_bytes make the dictionary; langs_at_most languages, the most frequent first. Texts are reduced
-to lower-case words first. Prediction compresses every whole text once with each language's dictionary and takes the smallest; of equal sizes the language
-with more training rows, then the first name. Each byte that a rival needs more halves its weight:
-score = 1 / sum(2^-(extra bytes)), between 0 and 1.
-
-Texts of short bytes or more are compressed in pieces of PIECE bytes, whose sizes are summed, so that the dictionary
-tells as much of the last piece as of the first.
+Fitting is bounded by rows: docs_per_lang training rows for each language, those with the smallest hash of id and text
+(rows that repeat both count as one); the dictionary is the whole of their texts. Each language that occurs has one.
+Texts are reduced to lower-case words first. Prediction cuts every whole text into pieces of about PIECE bytes, all of one
+size, compresses each with each language's dictionary behind the last LEAD bytes of that dictionary (zstandard stores what
+gains only a few bytes as it is; the size of the lead alone is taken off), and takes the language with the smallest sum;
+of equal sums the language with more training rows, then the first name. Each byte that a rival needs more halves its
+weight: score = 1 / sum(2^-(extra bytes)), between 0 and 1. Texts of all lengths go the same way.
 
 "und" where a text is null or holds no letter (score 0). rejected: "und", a margin (bytes to the second smallest) below
 min_margin or least_bits a byte of the text, or a gain (the share by which the dictionary makes the text smaller than it
-is without one) below least_gain. The two are set from held-out rows of sf0.1, where of 250 bytes or more they reject 2 %
-of the rows with a label (repeated words above all), 98 % of rows whose language was left out of the model, and 99 % of
-hexadecimal and base64 text. Shorter texts tell less: 1 % of the labelled rows, and half of the others. Without training rows all are "und". Rows with null ids, repeated rows and other columns pass
-through: one row comes back for each row.
+is without one) below least_gain. The two are set from held-out rows of sf0.1: see README. Without training rows all are
+"und". Rows with null ids and repeated rows pass through: one row comes back for each row. Kept columns with a name of
+ours come back with "_in" behind it.
 """
 
 from __future__ import annotations
@@ -26,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import slices
+from docmill.llm.common import kept_names, slices, small_batches
 
 
-PIECE = 1 << 12
+PIECE, LEAD, LEVEL = 1 << 12, 1 << 8, 12
+OWN = ("lang_pred", "score", "margin", "rejected")
 _BLANK = bytes(32 if chr(i) not in string.ascii_letters and i < 128 else i for i in range(256))
 
 
@@ -38,83 +37,86 @@ def plain(text: str) -> bytes:
     return b" " + b" ".join(text.lower().encode().translate(_BLANK).split()) + b" "
 
 
-def pieces_of(raw: bytes, least: int) -> list[bytes]:
-    """Pieces of PIECE bytes; what is left over is a piece of its own from least bytes on, else a part of the last."""
-    edges = list(range(0, max(len(raw) - least, 0) + 1, PIECE))
-    return [raw[a:b] for a, b in zip(edges, [*edges[1:], len(raw)], strict=True)]
+def pieces_of(raw: bytes) -> list[bytes]:
+    """Pieces of one size (the last may lack a few bytes), of PIECE bytes or more, but for shorter texts."""
+    n = max(len(raw) // PIECE, 1)
+    step = max(-(-len(raw) // n), 1)
+    return [raw[i : i + step] for i in range(0, len(raw), step)]
+
+
+class Packers:
+    """Compressed sizes with each dictionary, and without any."""
+
+    def __init__(self, model: list[tuple[str, bytes]], level: int):
+        import zstandard
 
+        plain_frame = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        self.with_each = []
+        for _, data in model:
+            shared = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            shared.precompute_compress(level=level)
+            pack, lead = zstandard.ZstdCompressor(dict_data=shared, **plain_frame).compress, data[-LEAD:]
+            self.with_each.append((pack, lead, len(pack(lead))))
+        self.pack_alone = zstandard.ZstdCompressor(level=level, **plain_frame).compress
+        self.frame = len(self.pack_alone(b""))
 
-def fit(documents: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 100, dict_bytes: int = 1 << 17, langs_at_most: int = 256) -> list[tuple[str, bytes]]:
-    """(lang, dictionary) of each language, most frequent first. Reads ids first, texts of the chosen rows after."""
+    def sizes(self, raw: bytes) -> list[int]:
+        parts = pieces_of(raw)
+        return [sum(len(pack(lead + x)) - alone for x in parts) for pack, lead, alone in self.with_each]
+
+    def alone(self, raw: bytes) -> int:
+        return sum(len(self.pack_alone(x)) - self.frame for x in pieces_of(raw))
+
+
+def fit(documents: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 32) -> list[tuple[str, bytes]]:
+    """(lang, dictionary) of each language, most frequent first. Chooses rows by hashes first, and reads their texts after."""
     rows = documents.filter(training & F.col(lang_col).isNotNull() & (F.coalesce(F.length(text_col), F.lit(0)) > 0))
-    counted = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(langs_at_most).collect()
-    order = [r["lang"] for r in counted]
-    by_hash = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"))
-    chosen = chosen.withColumn("k", F.row_number().over(by_hash)).filter(F.col("k") <= docs_per_lang).filter(F.col("lang").isin(order))
-    ids = [r["id"] for r in chosen.select("id").collect()]  # docs_per_lang * langs_at_most at most
-    texts: dict[str, list] = {lang: [] for lang in order}
-    sample = rows.filter(F.col(id_col).isin([i for i in ids if i is not None]) & F.col(lang_col).isin(order))
-    sample = sample.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.encode(F.col(text_col), "UTF-8").alias("t"))
-    for r in sample.select("lang", "h", F.substring("t", 1, dict_bytes).alias("t")).collect():
-        texts[r["lang"]].append((r["h"], plain(bytes(r["t"]).decode("utf-8", "ignore"))))
-    return [(lang, b"".join(t for _, t in sorted(texts[lang]))[:dict_bytes]) for lang in order]
-
-
-def classify(documents: DataFrame, model: list[tuple[str, bytes]], *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), min_margin: int = 1, least_bits: float = 0.05, least_gain: float = 0.03, level: int = 3, short: int = 1 << 10, short_level: int = 19, lead: int = 256) -> DataFrame:
-    """id_col, the columns in keep, lang_pred, score, margin (bytes), rejected.
-
-    level: of zstandard; short_level: for texts of fewer than short bytes, where single bytes decide. Such a text
-    is compressed behind the last lead bytes of the dictionary, whose own size is taken off, as zstandard stores what
-    gains only a few bytes as it is.
-    """
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("t"))
+    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row for each language
+    chosen = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    chosen = chosen.filter(F.col("k") <= docs_per_lang).select("lang", "h").collect()  # docs_per_lang for each language
+    texts: dict[str, list] = {r["lang"]: [] for r in counted}
+    sample = rows.filter(F.col("h").isin([r["h"] for r in chosen])).groupBy("lang", "h").agg(F.first("t").alias("t"))
+    wanted = {(r["lang"], r["h"]) for r in chosen}
+    for r in sample.collect():
+        if (r["lang"], r["h"]) in wanted:
+            texts[r["lang"]].append((r["h"], plain(r["t"])))
+    return [(lang, b"".join(t for _, t in sorted(held))) for lang, held in texts.items()]
+
+
+def classify(documents: DataFrame, model: list[tuple[str, bytes]], *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), min_margin: int = 1, least_bits: float = 0.02, least_gain: float = 0.08, level: int = LEVEL) -> DataFrame:
+    """id_col, the columns in keep, lang_pred, score, margin (bytes), rejected."""
+    spark = documents.sparkSession
+    small_batches(spark)
     kept = [id_col, *keep]
+    names = [*kept_names(kept, OWN), *OWN]
+    place = kept.index(text_col) if text_col in kept else len(kept)  # a kept text is sent once
+    sent = spark.sparkContext.broadcast(model)  # docs_per_lang texts for each language
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
-        import zstandard
 
-        letter = regex.compile(r"\p{L}").search
-        langs = [lang for lang, _ in model]
-
-        def packers_at(level: int) -> list:
-            out = []
-            for _, data in model:
-                shared = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                shared.precompute_compress(level=level)
-                out.append(zstandard.ZstdCompressor(dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-            return out
-
-        packers, fine_packers = packers_at(level), packers_at(short_level)
-        alone, fine_alone = (zstandard.ZstdCompressor(level=x, write_content_size=False, write_checksum=False).compress for x in (level, short_level))
-        frame = len(fine_alone(b""))
-        leads = [data[-lead:] for _, data in model]
-        without = [len(pack(x)) for pack, x in zip(fine_packers, leads, strict=True)]
-        for batch in slices(batches):
+        letter, langs, packers = regex.compile(r"\p{L}").search, [lang for lang, _ in sent.value], Packers(sent.value, level)
+        for batch in slices(batches, 64):
             pred, score, margin, rejected = [], [], [], []
-            for text in batch.column("_text"):
+            for text in batch.column(place):
                 text = text.as_py()
                 if text is None or not langs or not letter(text):
                     pred.append("und"), score.append(0.0), margin.append(0), rejected.append(True)
                     continue
                 raw = plain(text)
-                if len(raw) < short:
-                    sizes = [len(pack(x + raw)) - n for pack, x, n in zip(fine_packers, leads, without, strict=True)]
-                    bare = len(fine_alone(raw)) - frame
-                else:
-                    parts = pieces_of(raw, short)
-                    sizes = [sum(len(pack(x)) for x in parts) for pack in packers]
-                    bare = sum(len(alone(x)) for x in parts)
+                sizes, bare = packers.sizes(raw), packers.alone(raw)
                 least = min(sizes)
                 extra = sorted(sizes)[1] - least if len(sizes) > 1 else len(raw)
                 pred.append(langs[sizes.index(least)])
                 score.append(1.0 / sum(2.0 ** -min(n - least, 1000) for n in sizes))
                 margin.append(extra), rejected.append(extra < min_margin or 8 * extra < least_bits * len(raw) or bare - least < least_gain * bare)
-            cols = [batch.column(c) for c in kept] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.int64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "lang_pred", "score", "margin", "rejected"])
+            cols = [batch.column(i) for i in range(len(kept))] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.int64()), pa.array(rejected, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*kept).schema)
-    return documents.select(*kept, F.col(text_col).alias("_text")).mapInArrow(predict, f"{schema}, lang_pred string, score double, margin bigint, rejected boolean")
+    read = documents.select(*kept, *([] if text_col in kept else [F.col(text_col).alias("_text")]))
+    kinds = [f.dataType.simpleString() for f in documents.select(*kept).schema] + ["string", "double", "bigint", "boolean"]
+    return read.mapInArrow(predict, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
