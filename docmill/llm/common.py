@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(size, "4m")
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Has the driver drop the shuffle files of frames that nothing holds any more, which else stay until it happens to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def kept_names(keep, own) -> list[str]:
     """Names under which kept columns come back: with "_in" behind them where they are those of our columns."""
     taken, out = {x.lower() for x in [*own, *keep]}, []

@@ -229,6 +229,43 @@ def test_language(docs, none):
     assert language.classify(docs, model).count() == len(DOCS) and language.classify(none, model).count() == 0
 
 
+def test_language_against_brute_force(spark, docs):
+    """The dictionaries and every prediction, worked out again without the operator's classes."""
+    import zstandard
+    from pyspark.sql import functions as F
+
+    rows = DOCS + [DOCS[3]] * 40 + [(DOCS[3][0], prose(50, "fr"), "fr", None, None, None), (77, prose(9), "rare", None, None, None)]
+    some = spark.createDataFrame(rows, SCHEMA)
+    model = language.fit(some, F.lit(True), docs_per_lang=5)
+    hashed = {(r["lang"], r["h"]): r["text"] for r in some.filter("lang is not null and text != ''").selectExpr("lang", "text", "xxhash64(doc_id, text) as h").collect()}
+    n_of = Counter(r[2] for r in rows if r[2] and r[1])
+    assert [x for x, _ in model] == sorted(n_of, key=lambda x: (-n_of[x], x)) and "rare" in n_of
+    for lang, data in model:
+        drawn = sorted(h for x, h in hashed if x == lang)[:5]
+        assert data == b"".join(language.plain(hashed[lang, h]) for h in drawn)
+
+    def size(raw, data):
+        pack = zstandard.ZstdCompressor(level=12, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if data else None, write_content_size=False, write_checksum=False, write_dict_id=False)
+        n = max(len(raw) // 4096, 1)
+        step = -(-len(raw) // n)
+        return sum(len(pack.compress(data[-256:] + raw[i : i + step])) - len(pack.compress(data[-256:])) for i in range(0, len(raw), step))
+
+    got = {(r["doc_id"], r["text"]): r for r in language.classify(some, model, keep=("text", "lang")).collect()}
+    assert language.classify(some, model, keep=("text",)).count() == len(rows)
+    for i, text, *_ in rows:
+        r = got[i, text]
+        if not any(c.isalpha() for c in text or ""):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        raw = language.plain(text)
+        sizes = [size(raw, data) for _, data in model]
+        best, bare = min(sizes), size(raw, b"")
+        extra = sorted(sizes)[1] - best
+        assert r["lang_pred"] == model[sizes.index(best)][0] and r["margin"] == extra
+        assert math.isclose(r["score"], 1 / sum(2.0 ** (best - x) for x in sizes))
+        assert r["rejected"] == (extra < 1 or 8 * extra < 0.02 * len(raw) or bare - best < 0.08 * bare)
+
+
 def test_unlearned_languages_and_junk_are_rejected(spark):
     import base64
 
@@ -242,7 +279,9 @@ def test_unlearned_languages_and_junk_are_rejected(spark):
     got = language.classify(spark.createDataFrame(list(enumerate(good + bad)), "doc_id bigint, text string"), model).collect()
     assert {r["doc_id"] for r in got if r["rejected"]} == set(range(len(good), len(good + bad)))
     assert [r["lang_pred"] for r in sorted(got, key=lambda r: r["doc_id"])[: len(good)]] == ["en"] * 4 + ["fr"] * 4
-    assert all(b"".join(x := language.pieces_of(b"y" * n, 1024)) == b"y" * n and all(len(y) >= 1024 for y in x) for n in (1024, 4096, 5119, 5120, 9000))
+    for n in (1, 100, 4095, 4096, 4097, 8191, 8192, 100_000):
+        parts = language.pieces_of(b"y" * n)
+        assert b"".join(parts) == b"y" * n and len({len(x) for x in parts[:-1]}) <= 1 and all(len(x) >= min(n, 4096) for x in parts[:-1])
 
 
 # op6
@@ -291,35 +330,75 @@ def test_next_document_across_buckets(spark, monkeypatch):
 # op7
 
 
-def test_scores(docs, none):
+def brute_scores(rows, depth=3, min_gain=4.0, hot=10**9):
+    """rows: (train, text). A tree of dictionaries, and (n_tokens, n_known, base, score) of each text."""
+    texts = [["<begin>", *suffix_words(t), "<end>"] for _, t in rows]
+    of_word = Counter(w for (train, _), t in zip(rows, texts, strict=True) if train for w in t[1:])
+    n, v = sum(of_word.values()), len(of_word)
+    follow = {}
+    for (train, _), t in zip(rows, texts, strict=True):
+        for i in range(1, len(t)) if train else ():
+            for d in range(1, min(depth, i) + 1):
+                follow.setdefault(tuple(t[i - d : i]), Counter())[t[i]] += 1
+    kept = {}
+
+    def p_of(ctx, a):
+        p = (of_word[a] + 0.5) / (n + 0.5 * (v + 1))
+        for d in range(1, len(ctx) + 1):
+            s = ctx[-d:]
+            if kept.get(s):
+                p = (follow[s][a] + kept[s] * p) / (follow[s].total() + kept[s])
+        return p
+
+    for s in sorted(follow, key=len):
+        total, k = follow[s].total(), len(follow[s])
+        if total > hot:
+            k = total**0.9
+        gain = 0.0
+        for a, c in follow[s].items() if total > 1 else ():
+            p, own = 2.0 ** (-min(round(-8 * math.log2(p_of(s[1:], a))), 255) / 8), k - (c == 1)
+            gain += c * math.log((c - 1 + own * p) / ((total - 1 + own) * p))
+        kept[s] = k if gain >= min_gain else 0
+    out = []
+    for t in texts:
+        ps = [p_of(tuple(t[max(i - depth, 0) : i]), t[i]) for i in range(1, len(t))]
+        base = [math.log10((of_word[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t[1:]]
+        out.append((len(t) - 1, sum(of_word[w] > 0 for w in t[1:]), sum(base), sum(map(math.log10, ps))))
+    return n, out, sum(map(bool, kept.values()))
+
+
+def suffix_words(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x20\x09-\x0D]+", low)
+
+
+@pytest.mark.parametrize("hot", [None, 40])
+def test_scores(spark, docs, none, monkeypatch, hot):
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr(suffix_tree, "BLOCK", 9000)
+    monkeypatch.setattr(suffix_tree, "BUCKET", 7000)
+    rng, phrases = random.Random(4), ["one two three four", "two three five", "of the old", "of the new", "a"]
+    rows = DOCS + [(5000 + i, " ".join(rng.choice(phrases) for _ in range(30)), None, "kept", None, None) for i in range(20)] + [DOCS[3]] * 2
+    all_docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     out = F.coalesce(language.held_out(F.col("doc_id"), 5, 1), F.lit(False))
-    got = suffix_tree.score(docs, ~out, head_words=20).collect()
-    counts, tok = Counter(), lambda t: [*suffix_tree.tokens_of((t or "").encode()), suffix_tree.END]
-    for r in DOCS:
-        if r[0] is None or zlib.crc32(str(r[0]).encode()) % 5 != 1:
-            counts.update(tok(r[1]))
-    n, v = sum(counts.values()), len(counts)
-    want = []
-    for r in DOCS:
-        t = tok(r[1])
-        want.append((str(r[0]), len(t), sum(counts[w] > 0 for w in t), round(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), 6)))
-    assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == sorted(want)
-    assert {r["train_tokens"] for r in got} == {n} and all(r["score"] < 0 for r in got)
-    whole = {(str(r["doc_id"]), r["n_tokens"]): r["score"] for r in suffix_tree.score(docs, ~out).collect()}
-    assert all(math.isclose(r["score"], whole[str(r["doc_id"]), r["n_tokens"]], rel_tol=1e-9) for r in got)  # joined counts score as sent ones
-    empty = suffix_tree.score(none, F.lit(True))
-    assert empty.count() == 0
-    assert {r["base_score"] for r in suffix_tree.score(docs.limit(1), F.lit(False)).collect()} == {0.0}
-
-
-def test_tree_is_a_distribution(spark):
-    words = spark.createDataFrame([("the cat the hat a cat",), ("the end",)], "t string").selectExpr("encode(t, 'UTF-8') as t")
-    tree = suffix_tree.fit(suffix_tree.counts_of(words), p_min=0.0)
-    buf = np.array([[*b"xt", c] for c in range(256)], np.uint8).reshape(-1)
-    assert math.isclose((10 ** tree._p(buf, np.arange(2, 768, 3), np.full(256, 2))).sum(), 1.0, rel_tol=1e-9)
-    assert tree.of_words([b"thecat"])[0] < 0
+    train = [not (r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 1) for r in rows]
+    n, want, n_kept = brute_scores([(x, r[1]) for x, r in zip(train, rows, strict=True)], hot=hot or 10**9)
+    assert n_kept > 20
+    got = suffix_tree.score(all_docs, ~out, keep=("lang", "n_tokens"), hot=hot)
+    assert got.columns == ["doc_id", "lang", "n_tokens_in", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    got = sorted(((str(r["doc_id"]), str(r["lang"]), str(r["n_tokens_in"]), r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in got.collect()), key=lambda r: r[:5] + (round(r[5], 3),))
+    want = sorted(((str(r[0]), str(r[2]), str(r[3]), *w) for r, w in zip(rows, want, strict=True)), key=lambda r: r[:5] + (round(r[5], 3),))
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert all(math.isclose(x, y, rel_tol=1e-9) for g, w in zip(got, want, strict=True) for x, y in zip(g[5:], w[5:], strict=True))
+    assert suffix_tree.score(none, F.lit(True)).count() == 0
+    assert {(r["base_score"], r["score"], r["train_tokens"]) for r in suffix_tree.score(docs.limit(1), F.lit(False)).collect()} == {(0.0, 0.0, 0)}
+
+
+def test_planes_of_arrays():
+    a, b, c = np.array([1, 1 << 40], "<u8"), np.empty(0, "<u4"), np.array([255], "u1")
+    x, y, z = suffix_tree.unpacked(suffix_tree.packed(a, b, c), "<u8", "<u4", "u1")
+    assert np.array_equal(x, a) and not len(y) and np.array_equal(z, c)
 
 
 # op8
