@@ -1,15 +1,17 @@
 """Near-duplicate detection by min-max hashing: of each permutation both the minimum and the maximum are kept.
 
-A document's set holds the hashes of its distinct five-word shingles. 96 permutations give 192 values; three permutations
-make a band of six values, so documents with similarity s share one of the 32 bands but for (1 - s^6)^32 of them:
-3e-7 at 0.85, 6e-5 at 0.8, and two of similarity 0.3 meet in one of 40 cases. Every pair that is looked at is confirmed
+A document's set holds the hashes of its distinct five-word shingles. 72 permutations give 144 values; three permutations
+make a band of six values, so documents with similarity s share one of the 24 bands but for (1 - s^6)^24 of them:
+1e-5 at 0.85, 7e-4 at 0.8, and two of similarity 0.3 meet in one of 57 cases. Every pair that is looked at is confirmed
 on the full sets.
 
 Exact copies (equal sets) are one class from the start, a node of the graph of links, whatever the ids of its rows. Buckets of a band are never
 expanded into pairs. First every member of a bucket is held against one pivot, and what is linked forms components.
-Buckets of more than BLOCK members that still hold several components get PIVOTS more pivots, ROUNDS times;
-members of a pivot's own component need no look. Buckets that are open after that are dealt into blocks, and pairs of
-blocks are compared set by set; that is the exact way for what the pivots leave. All that is gathered are links; components are joins of written tables.
+Buckets of more than BLOCK members that still hold several components get PIVOTS more pivots, ROUNDS times; members of a
+pivot's own component need no look. Buckets that are open after that are compared set by set, as far as members are in
+different components: buckets with members in common are gathered in clusters, so that each set is sent once, and of a
+cluster of more than CLUSTER members each bucket on its own, dealt into blocks of which each two meet. That is the exact
+way for what the pivots leave. All that is gathered are links; components are joins of written tables.
 
 Null or empty texts have an empty set and are linked with nothing, not even with each other. Rows with a null id are
 returned on their own (component null, kept true). Rows that repeat an id are judged each by its own text; text_hash
@@ -31,7 +33,7 @@ from docmill.llm import shingles
 from docmill.llm.common import bit_filter, has_bit, slices, small_batches, written
 from docmill.llm.components import components
 
-PERMUTATIONS, BANDS, BLOCK, ROUNDS, PIVOTS = 96, 32, 256, 3, 4
+PERMUTATIONS, BANDS, BLOCK, ROUNDS, PIVOTS, CLUSTER = 72, 24, 256, 1, 4, 4096
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _A = _rng.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 64, PERMUTATIONS, dtype=np.uint64)
@@ -112,45 +114,76 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(confirm, "a bigint, b bigint")
 
 
-def _compare_blocks(open_members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of one bucket that are in different components; a spanning set of them for each pair of blocks.
+class Forest:
+    """Components that grow as links come."""
+
+    def __init__(self, labels):
+        self.root = {label: label for label in labels}
+
+    def find(self, x):
+        while self.root[x] != x:
+            self.root[x] = x = self.root[self.root[x]]
+        return x
+
+    def joins(self, x, y) -> bool:
+        """Whether a link between x and y joins two components, which from then on are one."""
+        p, q = self.find(x), self.find(y)
+        self.root[max(p, q)] = min(p, q)
+        return p != q
+
+
+def _links_among(rows: np.ndarray, sets: list[np.ndarray], labels: list, forest: Forest, percent: int) -> list[tuple[int, int]]:
+    """Links between these rows that join components."""
+    out, sizes = [], np.array([len(sets[i]) for i in rows])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    _, codes = np.unique(np.concatenate([sets[i] for i in rows]), return_inverse=True)
+    marked = np.zeros(codes.max() + 1, np.int64)
+    for i in range(1, len(rows)):
+        own = codes[starts[i] : starts[i] + sizes[i]]
+        marked[own] = 1
+        common = np.add.reduceat(marked[codes[: starts[i]]], starts[:i])
+        marked[own] = 0
+        for j in np.flatnonzero(100 * common >= percent * (sizes[i] + sizes[:i] - common)).tolist():
+            if forest.joins(labels[rows[i]], labels[rows[j]]):
+                out.append((rows[i], rows[j]))
+    return out
 
-    open_members: key, id, label, n (members of the bucket). Every member goes to all pairs of blocks that its block is
-    in, so that each two members meet once or more, in groups of 2 * BLOCK on average.
-    """
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = open_members.withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label")
+
+def _compare(members: DataFrame, sets: DataFrame, percent: int, by: list[str]) -> DataFrame:
+    """Links that join components, among members (id, label, keys) of one group and bucket."""
 
     def compare(group: pa.Table) -> pa.Table:
         ids, labels = group.column("id").to_pylist(), group.column("label").to_pylist()
         sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("set")]
-        root = {label: label for label in labels}
-
-        def find(x):
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        a, b = [], []
-        sizes = np.array([len(x) for x in sets_])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        _, codes = np.unique(np.concatenate(sets_), return_inverse=True)
-        marked = np.zeros(codes.max() + 1, np.int64)
-        for i in range(1, len(ids)):
-            own = codes[starts[i] : starts[i] + sizes[i]]
-            marked[own] = 1
-            common = np.add.reduceat(marked[codes[: starts[i]]], starts[:i])
-            marked[own] = 0
-            for j in np.flatnonzero(100 * common >= percent * (sizes[i] + sizes[:i] - common)).tolist():
-                if (p := find(labels[i])) != (q := find(labels[j])):
-                    root[max(p, q)] = min(p, q)
-                    a.append(ids[i]), b.append(ids[j])
-        id_type = group.schema.field("id").type
-        return pa.table([pa.array(a, id_type), pa.array(b, id_type)], names=["a", "b"])
-
-    return dealt.join(sets, "id").groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+        buckets: dict[int, list[int]] = {}
+        for i, keys in enumerate(group.column("keys").to_pylist()):
+            for key in keys:
+                buckets.setdefault(key, []).append(i)
+        forest, out = Forest(labels), []
+        for rows in sorted(buckets.values(), key=len):
+            if len({forest.find(labels[i]) for i in rows}) > 1:
+                out += _links_among(np.array(rows), sets_, labels, forest, percent)
+        return pa.table([pa.array([ids[i] for i, _ in out], pa.int64()), pa.array([ids[j] for _, j in out], pa.int64())], names=["a", "b"])
+
+    return members.join(sets, "id").groupBy(*by).applyInArrow(compare, "a bigint, b bigint")
+
+
+def _compare_open(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join components, among members of one open bucket (key, id, label, n).
+
+    Members of small clusters go to one task each; of a large bucket every member goes to all pairs of blocks that its
+    block is in, so that each two members meet once or more, in groups of 2 * BLOCK on average.
+    """
+    first = members.groupBy("key").agg(F.min("id").alias("first"))
+    near = members.join(first, "key").filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    clusters = components(written(near, "near"), "clusters").select(F.col("v").alias("id"), F.col("label").alias("cluster"))
+    sized = clusters.groupBy("cluster").agg((F.count("*") <= CLUSTER).alias("small"))
+    members = written(members.join(clusters.join(sized, "cluster"), "id"), "clustered")
+    small = members.filter("small").groupBy("cluster", "id", "label").agg(F.collect_list("key").alias("keys"))
+    large = members.filter("not small").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", F.array("key").alias("keys"))
+    return _compare(small, sets, percent, ["cluster"]).union(_compare(large, sets, percent, ["key", "i", "j"]))
 
 
 def _finish(buckets: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -170,7 +203,7 @@ def _finish(buckets: DataFrame, sets: DataFrame, links: DataFrame, percent: int)
         links = links.union(written(_confirm(pairs.distinct(), sets, percent), "links"))
         labels = components(links)
     if not labelled.isEmpty():
-        links = links.union(written(_compare_blocks(labelled.select("key", "id", "label", "n"), sets, percent), "links"))
+        links = links.union(written(_compare_open(labelled.select("key", "id", "label", "n"), sets, percent), "links"))
         labels = components(links)
     return labels
 
@@ -183,15 +216,16 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     signed = texts.mapInArrow(_signed, f"id {kind}, text_hash bigint, n bigint, same binary, bands array<bigint>")
     signed = written(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
     some = signed.filter("same is not null and id is not null")
-    classes = written(some.groupBy("same").agg(F.min("id").alias("rep"), F.min_by("row", "id").alias("id"), F.min_by("bands", "id").alias("bands")), "classes")
+    classes = written(some.groupBy("same").agg(F.min("id").alias("rep"), F.min_by("row", "id").alias("id"), F.first("n").alias("size"), F.min_by("bands", "id").alias("bands")), "classes")
 
-    members = classes.select(F.explode("bands").alias("key"), "id")
+    members = classes.select(F.explode("bands").alias("key"), "id", "size")
     who = [F.sum(F.xxhash64("id", F.lit(seed)).cast("decimal(20,0)")).alias(f"who_{seed}") for seed in (1, 2)]
-    shared = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n"), *who).filter("n > 1")
+    shared = members.groupBy("key").agg(F.min_by(F.struct("id", "size"), "id").alias("pivot"), F.count("*").alias("n"), *who).filter("n > 1")
     shared = shared.groupBy("pivot", "n", "who_1", "who_2").agg(F.min("key").alias("key"))  # one of the bands that hold the same members
     buckets = written(members.join(shared.select("key", "pivot", "n"), "key"), "buckets")
-    pairs = written(buckets.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    fits = 100 * F.least("size", "pivot.size") >= percent * F.greatest("size", "pivot.size")  # sets of other sizes can't be alike
+    pairs = written(buckets.filter(F.col("id") != F.col("pivot.id")).filter(fits).select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    wanted = buckets.select("id").distinct()
     sets = written(_sets_of(texts, written(wanted.join(classes.select("id", "rep", "same"), "id"), "wanted")), "sets")
     links = written(_confirm(pairs, sets, percent), "links")
 
