@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import tokens
-from docmill.llm.common import bit_filter, has_bit, slices, small_batches, written
+from docmill.llm.common import bit_filter, has_bit, in_arrow, slices, written
 
 CUT_BITS, LEAST_CORE = 10, 64
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -90,7 +90,6 @@ def encode_documents(documents: DataFrame, path: str, *, id_col: str = "doc_id",
     """id_col, ids (binary: unsigned 16-bit little-endian ids, 32-bit for vocabularies beyond that), one row for each row."""
     if tokens.Pieces(path).blank != " ":
         raise ValueError("chunks are reused with byte-level tokenizers only")
-    small_batches(documents.sparkSession)
     width = tokens.width_of(path)
     kind = documents.schema[id_col].dataType.simpleString()
     texts = documents.select(F.col(id_col).alias("id"), F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("raw"))
@@ -102,7 +101,7 @@ def encode_documents(documents: DataFrame, path: str, *, id_col: str = "doc_id",
             found = [[_short(_hash(raw[s:e])) for s, e in cores(raw)] for raw in raws]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(_hash, raws), pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "key", "cores"])
 
-    chunks = written(texts.mapInArrow(cut, f"id {kind}, key binary, cores array<bigint>"), "chunks")
+    chunks = written(in_arrow(texts, cut, f"id {kind}, key binary, cores array<bigint>", "tokens"), "chunks")
     repeated = chunks.select(F.explode("cores").alias("h")).groupBy("h").count().filter("count > 1").select("h")
     shared = send(bit_filter(written(repeated, "repeated")))
 
@@ -110,13 +109,13 @@ def encode_documents(documents: DataFrame, path: str, *, id_col: str = "doc_id",
         for batch in slices(batches):
             yield batch.filter(pa.array([bool(len(x)) and bool(_bits_of(x, shared.value).any()) for x in batch.column("cores").to_pylist()], pa.bool_())).select(["key"])
 
-    sharing = chunks.select("key", "cores").mapInArrow(with_shared, "key binary").distinct()
+    sharing = in_arrow(chunks.select("key", "cores"), with_shared, "key binary", "tokens").distinct()
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([_short(k) for k in batch.column("key").to_pylist()], pa.int64())], names=["h"])
 
-    aside = send(bit_filter(written(sharing.mapInArrow(short, "h bigint"), "sharing")))
+    aside = send(bit_filter(written(in_arrow(sharing, short, "h bigint", "tokens"), "sharing")))
 
     def is_aside(keys: list[bytes]) -> np.ndarray:
         return _bits_of([_short(k) for k in keys], aside.value) if keys else np.empty(0, bool)
@@ -159,23 +158,22 @@ def encode_documents(documents: DataFrame, path: str, *, id_col: str = "doc_id",
                 out.append(_joined(raw, cores(raw), {x["core"]: x["ids"] for x in have or []}, encode))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.binary())], names=["key", "ids"])
 
-    found = texts.select("raw").mapInArrow(set_aside, "raw binary, key binary, cores array<binary>")
+    found = in_arrow(texts.select("raw"), set_aside, "raw binary, key binary, cores array<binary>", "tokens")
     distinct = written(found.groupBy("key").agg(F.first("raw").alias("raw"), F.first("cores").alias("cores")), "texts")
     places = distinct.select("key", F.explode("cores").alias("core"))
     owners = places.groupBy("core").agg(F.min("key").alias("key"), F.count("*").alias("n")).filter("n > 1")
     own = owners.groupBy("key").agg(F.collect_list("core").alias("own"))
-    encoded = written(distinct.select("key", "raw").join(own, "key").select("raw", "own").mapInArrow(encode_own, "core binary, ids binary"), "cores")
+    encoded = written(in_arrow(distinct.select("key", "raw").join(own, "key").select("raw", "own"), encode_own, "core binary, ids binary", "tokens"), "cores")
     have = places.distinct().join(encoded, "core").groupBy("key").agg(F.collect_list(F.struct("core", "ids")).alias("have"))
-    repaired = distinct.select("key", "raw").join(have, "key", "left").select("key", "raw", "have").mapInArrow(repair, "key binary, ids binary")
-    back = chunks.select("id", "key").mapInArrow(places_of, f"id {kind}, key binary").join(repaired, "key").select("id", "ids")
-    return texts.mapInArrow(encode_rest, f"id {kind}, ids binary").unionByName(back).withColumnRenamed("id", id_col)
+    repaired = in_arrow(distinct.select("key", "raw").join(have, "key", "left").select("key", "raw", "have"), repair, "key binary, ids binary", "tokens")
+    back = in_arrow(chunks.select("id", "key"), places_of, f"id {kind}, key binary", "tokens").join(repaired, "key").select("id", "ids")
+    return in_arrow(texts, encode_rest, f"id {kind}, ids binary", "tokens").unionByName(back).withColumnRenamed("id", id_col)
 
 
 def decode_ids(encoded: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
     """keep, ids_col, n_tokens, ids_sha256 (of the decimal ids, joined by commas), text (as the library's decode, special tokens included)."""
     names = [*keep, ids_col]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*names).schema)
-    small_batches(encoded.sparkSession)
     width = tokens.width_of(path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,4 +188,4 @@ def decode_ids(encoded: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_i
                 texts.append(b"".join([of[i] for i in ids]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], names=[*names, "n_tokens", "ids_sha256", "text"])
 
-    return encoded.select(*names).mapInArrow(decode, f"{schema}, n_tokens bigint, ids_sha256 string, text string")
+    return in_arrow(encoded.select(*names), decode, f"{schema}, n_tokens bigint, ids_sha256 string, text string", "tokens")

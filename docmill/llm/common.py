@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,14 +45,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """From now on the session hands its Python workers 512 rows or 4 MB at once at most, where it allowed more: batches of
-    long texts stay small on both sides."""
+#: what operators keep in a worker between tasks: by name, how to drop it
+MODELS: dict = {}
+
+
+def tidy(keeps: str | None = None) -> None:
+    """Drops all models of this worker but those named, and gives memory that is free back to the machine."""
+    for name, drop in MODELS.items():
+        if name != keeps:
+            drop()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc
+        pass
+
+
+def in_arrow(df: DataFrame, f, schema: str, keeps: str | None = None) -> DataFrame:
+    """df.mapInArrow(f, schema) with small batches, in workers that hold only the models in `keeps`.
+
+    From now on the session hands its Python workers 512 rows or 4 MB at once at most, where it allowed more: batches of
+    long texts stay small on both sides. Workers live on after a task, so what it leaves behind would add up.
+    """
+    conf = df.sparkSession.conf
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(rows)) <= 512:
-        spark.conf.set(rows, 512)
-    if spark.conf.get(size) == "67108864b":  # as Spark sets it
-        spark.conf.set(size, "4m")
+    if not 0 < int(conf.get(rows)) <= 512:
+        conf.set(rows, 512)
+    if conf.get(size) == "67108864b":  # as Spark sets it
+        conf.set(size, "4m")
+
+    def run(batches):
+        from docmill.llm import common
+
+        common.tidy(keeps)
+        yield from f(batches)
+        common.tidy(keeps)
+
+    return df.mapInArrow(run, schema)
 
 
 def collect_garbage(spark: SparkSession) -> None:

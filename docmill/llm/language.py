@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import kept_names, slices, small_batches
+from docmill.llm.common import in_arrow, kept_names, slices
 
 
-PIECE, LEAD, LEVEL = 1 << 12, 1 << 8, 12
+PIECE, LEAD, LEVEL = 1 << 12, 1 << 6, 12
 OWN = ("lang_pred", "score", "margin", "rejected")
 _BLANK = bytes(32 if chr(i) not in string.ascii_letters and i < 128 else i for i in range(256))
 
@@ -84,14 +84,12 @@ def fit(documents: DataFrame, training: Column, *, id_col: str = "doc_id", text_
     return [(lang, b"".join(t for _, t in sorted(held))) for lang, held in texts.items()]
 
 
-def classify(documents: DataFrame, model: list[tuple[str, bytes]], *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), min_margin: int = 1, least_bits: float = 0.02, least_gain: float = 0.08, level: int = LEVEL) -> DataFrame:
+def classify(documents: DataFrame, model: list[tuple[str, bytes]], *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), min_margin: int = 1, least_bits: float = 0.05, least_gain: float = 0.03, level: int = LEVEL) -> DataFrame:
     """id_col, the columns in keep, lang_pred, score, margin (bytes), rejected."""
-    spark = documents.sparkSession
-    small_batches(spark)
     kept = [id_col, *keep]
     names = [*kept_names(kept, OWN), *OWN]
     place = kept.index(text_col) if text_col in kept else len(kept)  # a kept text is sent once
-    sent = spark.sparkContext.broadcast(model)  # docs_per_lang texts for each language
+    sent = documents.sparkSession.sparkContext.broadcast(model)  # docs_per_lang texts for each language
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -116,7 +114,7 @@ def classify(documents: DataFrame, model: list[tuple[str, bytes]], *, id_col: st
 
     read = documents.select(*kept, *([] if text_col in kept else [F.col(text_col).alias("_text")]))
     kinds = [f.dataType.simpleString() for f in documents.select(*kept).schema] + ["string", "double", "bigint", "boolean"]
-    return read.mapInArrow(predict, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
+    return in_arrow(read, predict, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:

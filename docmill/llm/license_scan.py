@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import slices
+from docmill.llm.common import in_arrow, slices
 
 TRIGGERS = re.compile(r"licen[cs]e|copyright|permission|warrant|public domain|redistribut", re.IGNORECASE)
 _RUN = re.compile(r"[A-Za-z0-9.\-]+")
@@ -169,5 +169,5 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, *, id_co
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, t) for v, t in zip(rows.values(), types, strict=True))], names=["id", *rows])
 
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = texts.mapInArrow(find, f"id {kind}, line int, block string, license string, reduction double, n_differing int, differences array<string>")
+    found = in_arrow(texts, find, f"id {kind}, line int, block string, license string, reduction double, n_differing int, differences array<string>")
     return found.withColumnRenamed("id", id_col)

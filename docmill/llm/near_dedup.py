@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import shingles
-from docmill.llm.common import bit_filter, has_bit, slices, small_batches, written
+from docmill.llm.common import bit_filter, has_bit, in_arrow, slices, written
 from docmill.llm.components import components
 
 PERMUTATIONS, BANDS, BLOCK, ROUNDS, PIVOTS, CLUSTER = 72, 24, 256, 1, 4, 4096
@@ -86,7 +86,7 @@ def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = shingles.shingle_sets(raw[lo:hi])
                 yield pa.RecordBatch.from_arrays([pa.array(map(_content, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["same", "set"])
 
-    sets = texts.select("text", F.xxhash64("id").alias("h")).mapInArrow(with_sets, "same binary, set binary")
+    sets = in_arrow(texts.select("text", F.xxhash64("id").alias("h")), with_sets, "same binary, set binary")
     return sets.join(wanted.select("same", "id"), "same").dropDuplicates(["id"]).select("id", "set")
 
 
@@ -111,7 +111,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(confirm, "a bigint, b bigint")
+    return in_arrow(full.select("a", "b", "x", "y"), confirm, "a bigint, b bigint")
 
 
 class Forest:
@@ -210,10 +210,9 @@ def _finish(buckets: DataFrame, sets: DataFrame, links: DataFrame, percent: int)
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """Per document: id_col, n_shingles, component_id, kept, text_hash. Linked where 100 * |both| >= percent * |either|."""
-    small_batches(documents.sparkSession)
     kind = documents.schema[id_col].dataType.simpleString()
     texts = documents.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    signed = texts.mapInArrow(_signed, f"id {kind}, text_hash bigint, n bigint, same binary, bands array<bigint>")
+    signed = in_arrow(texts, _signed, f"id {kind}, text_hash bigint, n bigint, same binary, bands array<bigint>")
     signed = written(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
     some = signed.filter("same is not null and id is not null")
     classes = written(some.groupBy("same").agg(F.min("id").alias("rep"), F.min_by("row", "id").alias("id"), F.first("n").alias("size"), F.min_by("bands", "id").alias("bands")), "classes")

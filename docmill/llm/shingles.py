@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 
+from docmill.llm import common
+
 U = np.uint64
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
 _C = U(0xD6E8FEB86659FD93)
 _tables: list[np.ndarray] = []
+common.MODELS["shingles"] = _tables.clear
 
 
 def mix(h: np.ndarray) -> np.ndarray:

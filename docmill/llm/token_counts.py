@@ -19,14 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.llm import tokens
-from docmill.llm.common import slices, small_batches, written
+from docmill.llm.common import in_arrow, slices, written
 
 SPAN = 1024
 
 
 def token_lengths(documents: DataFrame, tokenizer: str, *, text_col: str = "text") -> DataFrame:
     """n_tokens of every row."""
-    small_batches(documents.sparkSession)
     width = tokens.width_of(tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,7 +33,7 @@ def token_lengths(documents: DataFrame, tokenizer: str, *, text_col: str = "text
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([len(encode(x.as_py() or "")) // width for x in batch.column(0)], pa.int64())], names=["n_tokens"])
 
-    return documents.select(F.col(text_col).alias("text")).mapInArrow(count, "n_tokens bigint")
+    return in_arrow(documents.select(F.col(text_col).alias("text")), count, "n_tokens bigint", "tokens")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.llm import tokens
-from docmill.llm.common import slices, small_batches
+from docmill.llm.common import in_arrow, slices
 
 BLOCK, SEGMENT, LEVEL = 1 << 16, 1 << 20, 3
 FIELDS = "part int, segment int, before bigint, width int, block int, doc_ids array<bigint>, lengths array<bigint>, offsets array<bigint>, planes binary"
@@ -63,7 +63,6 @@ def unpack(planes: bytes, ends: list[int], width: int) -> np.ndarray:
 
 def write_token_planes(documents: DataFrame, target: str, tokenizer: str, *, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every text, appends end_id, and writes a token table to target."""
-    small_batches(documents.sparkSession)
     width = tokens.width_of(tokenizer)
     texts = documents.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     # the text only parts rows with one id, so that repeated ids can't fill a task
@@ -92,12 +91,11 @@ def write_token_planes(documents: DataFrame, target: str, tokenizer: str, *, end
         if doc_ids:
             yield close()
 
-    ordered.mapInArrow(encode, FIELDS).write.option("compression", "none").parquet(target)
+    in_arrow(ordered, encode, FIELDS, "tokens").write.option("compression", "none").parquet(target)
 
 
 def read_token_planes(spark: SparkSession, target: str, *, id_col: str = "doc_id") -> DataFrame:
     """Per document: id_col, start (ids of all documents before it), n_tokens, ids (binary, little-endian of width bytes), width."""
-    small_batches(spark)
     table = spark.read.schema(FIELDS).parquet(target)
     parts = table.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, n: a + n)).alias("n"))
     earlier = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -113,7 +111,7 @@ def read_token_planes(spark: SparkSession, target: str, *, id_col: str = "doc_id
             n = len(data)
             yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(firsts + row["before"]), pa.array(row["lengths"], pa.int64()), pa.array(data, pa.binary()), pa.array([row["width"]] * n, pa.int32())], names=["part", "id", "first", "n_tokens", "ids", "width"])
 
-    docs = table.mapInArrow(decode, "part int, id bigint, first bigint, n_tokens bigint, ids binary, width int").join(F.broadcast(parts), F.col("part") == F.col("p"))
+    docs = in_arrow(table, decode, "part int, id bigint, first bigint, n_tokens bigint, ids binary, width int", "tokens").join(F.broadcast(parts), F.col("part") == F.col("p"))
     return docs.select(F.col("id").alias(id_col), (F.col("first") + F.col("earlier")).alias("start"), "n_tokens", "ids", "width")
 
 
@@ -126,4 +124,4 @@ def with_crc32(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id", "start", "
             out = [zlib.crc32(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()) for ids, width in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.int64())], names=[*keep, "ids_crc32"])
 
-    return docs.select(*keep, "ids", "width").mapInArrow(crc, f"{schema}, ids_crc32 bigint")
+    return in_arrow(docs.select(*keep, "ids", "width"), crc, f"{schema}, ids_crc32 bigint", "tokens")

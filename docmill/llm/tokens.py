@@ -19,6 +19,8 @@ import unicodedata
 
 import numpy as np
 
+from docmill.llm import common
+
 MEMO, LONG_RUN = 1 << 19, 5000
 _long_run = re.compile(r"\S{%d}" % LONG_RUN).search
 _marks_meet = re.compile(r"[^\w\s][.,]|[.,][^\w\s]|_[.,]|[.,]_").search
@@ -156,3 +158,6 @@ def width_of(path: str) -> int:
 def pieces(path: str, width: int = 2) -> Pieces:
     """One for each worker, kept between tasks."""
     return Pieces(path, width)
+
+
+common.MODELS["tokens"] = pieces.cache_clear
