@@ -50,14 +50,18 @@ class Packers:
     def __init__(self, model: list[tuple[str, bytes]], level: int):
         import zstandard
 
-        plain_frame = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        def settings(dict_size: int):
+            """Those of the level, with smaller tables and fewer tries: pieces are short."""
+            frame = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+            return zstandard.ZstdCompressionParameters.from_level(level, source_size=PIECE, dict_size=dict_size, hash_log=16, chain_log=16, search_log=2, **frame)
+
         self.with_each = []
         for _, data in model:
-            shared = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            shared.precompute_compress(level=level)
-            pack, lead = zstandard.ZstdCompressor(dict_data=shared, **plain_frame).compress, data[-LEAD:]
+            shared, own = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), settings(len(data))
+            shared.precompute_compress(compression_params=own)
+            pack, lead = zstandard.ZstdCompressor(dict_data=shared, compression_params=own).compress, data[-LEAD:]
             self.with_each.append((pack, lead, len(pack(lead))))
-        self.pack_alone = zstandard.ZstdCompressor(level=level, **plain_frame).compress
+        self.pack_alone = zstandard.ZstdCompressor(compression_params=settings(0)).compress
         self.frame = len(self.pack_alone(b""))
 
     def sizes(self, raw: bytes) -> list[int]:
