@@ -53,7 +53,7 @@ class Packers:
         def settings(dict_size: int):
             """Those of the level, with smaller tables and fewer tries: pieces are short."""
             frame = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
-            return zstandard.ZstdCompressionParameters.from_level(level, source_size=PIECE, dict_size=dict_size, hash_log=16, chain_log=16, search_log=2, **frame)
+            return zstandard.ZstdCompressionParameters.from_level(level, source_size=PIECE, dict_size=dict_size, hash_log=16, chain_log=16, search_log=4, **frame)
 
         self.with_each = []
         for _, data in model:

@@ -245,7 +245,7 @@ def test_language_against_brute_force(spark, docs):
         assert data == b"".join(language.plain(hashed[lang, h]) for h in drawn)
 
     def size(raw, data):
-        own = zstandard.ZstdCompressionParameters.from_level(12, source_size=4096, dict_size=len(data), hash_log=16, chain_log=16, search_log=2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        own = zstandard.ZstdCompressionParameters.from_level(12, source_size=4096, dict_size=len(data), hash_log=16, chain_log=16, search_log=4, write_content_size=False, write_checksum=False, write_dict_id=False)
         pack = zstandard.ZstdCompressor(compression_params=own, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if data else None)
         n = max(len(raw) // 4096, 1)
         step = -(-len(raw) // n)
