@@ -23,7 +23,7 @@ from docmill.llm import common
 
 MEMO, LONG_RUN = 1 << 19, 5000
 _long_run = re.compile(r"\S{%d}" % LONG_RUN).search
-_marks_meet = re.compile(r"[^\w\s][.,]|[.,][^\w\s]|_[.,]|[.,]_").search
+_marks_meet = re.compile(r"[.,](?:(?<=[^\w\s].)|(?<=_.)|(?=[^\w\s]|_))").search
 _odd_space = re.compile("[\x1c-\x1f]").search  # white space to Python, not to the library
 _latin = re.compile("[\x00-\u017f]*").fullmatch
 
@@ -89,16 +89,13 @@ class Pieces:
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, words) -> None:
+    def _learn(self, words: set[str]) -> None:
         if len(self.memo) > self.memo_size:
             self.older, self.memo = self.memo, {}
-        new = []
-        for w in set(words):
-            if w not in self.memo:
-                if w in self.older:
-                    self.memo[w] = self.older[w]
-                else:
-                    new.append(w)
+        unmet = words.difference(self.memo)
+        again = unmet.intersection(self.older)
+        self.memo.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        new = list(unmet.difference(again))
         plain = [w for w in new if w and _latin(w)]
         if not self._learn_joined(plain):
             plain = []
@@ -136,7 +133,7 @@ class Pieces:
         if self.by_rank:
             return [self.encode(t) for t in texts]
         parts = [self._words(t) for t in texts]
-        self._learn(w for p in parts if p for w in p)
+        self._learn(set().union(*filter(None, parts)))
         get = self.memo.__getitem__
         return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
 
