@@ -24,7 +24,7 @@ class DestroyedError(RuntimeError):
     """The collection has been destroyed."""
 
     def __init__(self) -> None:
-        super().__init__("Collection has been destroyed. Call Database.init_collection to recreate")
+        super().__init__("this handle's collection is gone; init_collection makes it anew")
 
 
 class Database:
@@ -33,7 +33,7 @@ class Database:
     def __init__(self, spark: SparkSession, path: str | None = None, adapter: str = "fs", log_level: str | int | None = None):
         if adapter not in STORES:
             raise ValueError(f"Unknown adapter type: {adapter}")
-        self.spark, self.path, self.adapter = spark, str(Path(path) if path else Path.cwd() / ".docmill"), adapter
+        self.spark, self.path, self.adapter = spark, path or str(Path.cwd() / ".docmill"), adapter
         if log_level:
             log.setLevel(log_level)
 

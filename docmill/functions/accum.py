@@ -33,18 +33,20 @@ def _merge(v: Value, order: Column) -> Column:
     return F.struct(*[of(f.name).alias(f.name) for f in t.fields])
 
 
-def _sort_key(scope: Scope, by: dict, order: Column) -> Column:
-    """A struct whose ascending order is that of the keys, ties by arrival."""
-    parts = []
-    for path, sign in by.items():
-        v = scope.field(path)
-        if sign > 0:
-            parts.append(v.col)
-        elif is_number(v.type):
-            parts.append(-v.col)
-        else:
-            raise QueryError("descending order keys of accumulators must be numbers")
-    return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)], order.alias("o"))
+def _in_order(scope: Scope, by: dict, order: Column, out: Column) -> Column:
+    """out of all documents of a group by the keys, ties by arrival; null is lowest."""
+    keys = [scope.field(path).col.alias(f"k{i}") for i, path in enumerate(by)]
+    signs = list(by.values())
+
+    def compare(x: Column, y: Column) -> Column:
+        result = F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0)
+        for i, sign in reversed(list(enumerate(signs))):
+            a, b = x[f"k{i}"], y[f"k{i}"]
+            below, above = F.coalesce(a < b, a.isNull() & b.isNotNull()), F.coalesce(a > b, a.isNotNull() & b.isNull())
+            result = F.when(below, -1 if sign > 0 else 1).when(above, 1 if sign > 0 else -1).otherwise(result)
+        return result
+
+    return F.transform(F.array_sort(F.collect_list(F.struct(*keys, order.alias("o"), out.alias("v"))), compare), lambda e: e["v"])
 
 
 def accumulator(scope: Scope, name: str, arg: Any, order: Column) -> Column:
@@ -79,10 +81,9 @@ def accumulator(scope: Scope, name: str, arg: Any, order: Column) -> Column:
             return F.reverse(F.slice(F.reverse(_ordered(order, c)), 1, n))
         return F.slice(F.sort_array(F.collect_list(c), name == "$minN"), 1, n)
     if name in ("$top", "$bottom", "$topN", "$bottomN"):
-        key, out = _sort_key(scope, arg["sortBy"], order), compile_expr(scope, arg["output"]).col
+        sorted_ = _in_order(scope, arg["sortBy"], order, compile_expr(scope, arg["output"]).col)
         if name in ("$top", "$bottom"):
-            return (F.min_by if name == "$top" else F.max_by)(out, key)
-        sorted_ = F.transform(F.array_sort(F.collect_list(F.struct(key.alias("o"), out.alias("v")))), lambda x: x["v"])
+            return F.get(sorted_, 0) if name == "$top" else F.element_at(sorted_, -1)
         return F.slice(sorted_, 1, int(arg["n"])) if name == "$topN" else F.reverse(F.slice(F.reverse(sorted_), 1, int(arg["n"])))
     if name == "$accumulator":
         f: Callable[..., Column] = arg["body"]

@@ -94,6 +94,24 @@ def _deep(x: Column, parts: list[str]) -> Column:
     return x
 
 
+def with_path(c: Column | None, kind: T.DataType, parts: list[str], new: Callable[[Column | None], Column]) -> Column:
+    """c with new(old value) at a path below it. Objects that are missing on the way are made; in an array a number names
+    one element, any other name that field of all elements."""
+    if not parts:
+        return new(c)
+    name, rest = parts[0], parts[1:]
+    if isinstance(kind, T.ArrayType) and c is not None:
+        inner = kind.elementType
+        if name.isdigit():
+            return F.transform(c, lambda e, i: F.when(i == int(name), with_path(e, inner, rest, new)).otherwise(e))
+        return F.transform(c, lambda e: with_path(e, inner, parts, new))
+    names = kind.names if isinstance(kind, T.StructType) and c is not None else []
+    fields = [(with_path(c.getField(n), kind[n].dataType, rest, new) if n == name else c.getField(n)).alias(n) for n in names]
+    if name not in names:
+        fields.append(with_path(None, T.NullType(), rest, new).alias(name))
+    return F.struct(*fields)
+
+
 def is_number(t: T.DataType) -> bool:
     return isinstance(t, T.NumericType)
 

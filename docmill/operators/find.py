@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import cached_property
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,16 +56,13 @@ def find(frame: DataFrame, query: dict | None = None, *, sort: Any = None, offse
     matching = frame.filter(compile_query(frame, query)) if query else frame
     keys = [*(sort_columns(matching, sort) if sort else []), *([F.col(SEQ)] if SEQ in matching.columns else [])]
     page = matching
-    if (offset or 0) < 0 or (limit or 0) < 0:
-        # counted from the end: number the rows, and cut by number
-        page = page.withColumn("_at", F.row_number().over(Window.orderBy(*(keys or [F.lit(1)])))).withColumn("_n", F.count("*").over(Window.partitionBy()))
-        start = F.lit(0)
-        if offset:
-            start = F.greatest(F.col("_n") + offset, F.lit(0)) if offset < 0 else F.lit(offset)
-        page = page.filter(F.col("_at") > start)
-        if limit:
-            page = page.filter(F.col("_at") <= (start + limit if limit > 0 else F.col("_n") + limit))
-        return FindResult(matching, page.orderBy("_at").drop("_at", "_n"))
+    if (offset or 0) < 0 or (limit or 0) < 0:  # counted from the end: one count makes them ordinary numbers
+        n = matching.count()
+        offset = max(n + offset, 0) if (offset or 0) < 0 else offset or 0
+        if (limit or 0) < 0:
+            limit = n + limit - offset
+            if limit <= 0:
+                return FindResult(matching, matching.limit(0))
     if keys:
         page = page.orderBy(*keys)
     if offset:

@@ -6,6 +6,7 @@ where order can be seen, by a sort key rather than by a global row number.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 from typing import Any
@@ -17,9 +18,10 @@ from pyspark.sql import types as T
 from docmill.functions.accum import accumulator
 from docmill.functions.expr import compile_expr
 from docmill.functions.predicate import QueryError, compile_on, compile_query
-from docmill.functions.values import SEQ, Scope, Value, walk
+from docmill.functions.values import SEQ, Scope, Value, walk, with_path
 
 STAGES: dict[str, Callable[..., DataFrame]] = {}
+SECONDS = {None: 1, "millisecond": 0.001, "second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
 
 
 def stage(*names: str):
@@ -128,7 +130,8 @@ def _add_fields(df, spec, _):
         new = compile_expr(scope, e).col
         if rest:
             if top in df.columns:
-                new = out.get(top, F.col(f"`{top}`")).withField(".".join(rest), new)
+                base = out.get(top, F.col(f"`{top}`"))
+                new = with_path(base, df.select(base.alias("x")).schema["x"].dataType, rest, lambda _, new=new: new)
             else:
                 new = reduce(lambda c, p: F.struct(c.alias(p)), reversed(rest), new)
         out[top] = new
@@ -370,16 +373,60 @@ def _named(others: dict[str, DataFrame], name: str) -> DataFrame:
     return others[name]
 
 
+def _gathered(keyed: DataFrame, by: str) -> DataFrame:
+    """by and _matches: the documents (o, v) of each key, in order."""
+    return keyed.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "v"))), lambda x: x["v"]).alias("_matches"))
+
+
 @stage("$lookup")
 def _lookup(df, spec, others):
-    """Left outer equi-join; the matches of a document are gathered before the join, so it keeps its one row."""
-    right = _named(others, spec["from"])
-    right = run(right, spec.get("pipeline", []), others)
+    """Left outer equi-join; matches are gathered before the join, so a document keeps its one row, and only those that
+    some document asks for. An array in localField matches by any of its elements."""
+    if "let" in spec:
+        raise QueryError("$lookup joins by localField and foreignField; let isn't known")
+    right = run(_named(others, spec["from"]), spec.get("pipeline", []), others)
     whole = F.struct(*[F.col(f"`{c}`") for c in visible(right)])
     keyed = right.select(Scope(right).field(spec["foreignField"]).col.alias("_fk"), order_of(right).alias("o"), whole.alias("v"))
-    matches = keyed.groupBy("_fk").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "v"))), lambda x: x["v"]).alias("_matches"))
-    out = df.join(matches, Scope(df).field(spec["localField"]).col.eqNullSafe(F.col("_fk")), "left")
-    return out.withColumn(spec["as"], F.coalesce("_matches", F.array().cast(matches.schema["_matches"].dataType))).drop("_fk", "_matches")
+    local = Scope(df).field(spec["localField"])
+    wanted = df.select(local.col.alias("_local")).distinct()
+    if isinstance(local.type, T.ArrayType):
+        each = wanted.select("_local", F.explode(F.array_distinct("_local")).alias("_lk"))
+        matches = _gathered(each.join(keyed, F.col("_lk").eqNullSafe(F.col("_fk"))).dropDuplicates(["_local", "o"]), "_local")
+    else:
+        matches = _gathered(keyed.join(wanted, F.col("_fk").eqNullSafe(F.col("_local")), "left_semi").withColumnRenamed("_fk", "_local"), "_local")
+    out = df.join(matches, local.col.eqNullSafe(F.col("_local")), "left")
+    return out.withColumn(spec["as"], F.coalesce("_matches", F.array().cast(matches.schema["_matches"].dataType))).drop("_local", "_matches")
+
+
+@stage("$graphLookup")
+def _graph_lookup(df, spec, others):
+    """From startWith along connectFromField to connectToField, breadth first, one join a round; each document once for
+    each start. Rounds end at maxDepth, or when a round finds no document that is new."""
+    right = _named(others, spec["from"])
+    whole = F.struct(*[F.col(f"`{c}`") for c in visible(right)])
+    nodes = right.select(Scope(right).field(spec["connectToField"]).col.alias("_to"), Scope(right).field(spec["connectFromField"]).col.alias("_next"), order_of(right).alias("o"), whole.alias("v"))
+    if "restrictSearchWithMatch" in spec:
+        nodes = nodes.filter(compile_query(right, spec["restrictSearchWithMatch"]))
+    many = lambda d, c, name: d.withColumn(name, F.explode(c)) if isinstance(d.schema[c].dataType, T.ArrayType) else d.withColumn(name, F.col(c))
+    start = compile_expr(Scope(df), spec["startWith"]).col
+    front = many(df.select(start.alias("_start")).distinct(), "_start", "_at").filter("_at is not null")
+    found = None
+    for depth in range(spec.get("maxDepth", 1 << 30) + 1):
+        step = front.select("_start", "_at").distinct().join(nodes, F.col("_at") == F.col("_to")).dropDuplicates(["_start", "o"])
+        if found is not None:
+            step = step.join(found.select(F.col("_start").alias("_s"), F.col("o").alias("_o")), F.col("_start").eqNullSafe(F.col("_s")) & (F.col("o") == F.col("_o")), "left_anti")
+        step = step.select("_start", "_next", "o", "v", F.lit(depth).cast("bigint").alias("_depth")).persist()
+        if step.isEmpty():
+            break
+        found = step if found is None else found.union(step)
+        front = many(step, "_next", "_at").filter("_at is not null")
+    if found is None:
+        found = step
+    if "depthField" in spec:
+        found = found.withColumn("v", F.col("v").withField(spec["depthField"], F.col("_depth")))
+    matches = _gathered(found, "_start")
+    out = df.join(matches, start.eqNullSafe(F.col("_start")), "left")
+    return out.withColumn(spec["as"], F.coalesce("_matches", F.array().cast(matches.schema["_matches"].dataType))).drop("_start", "_matches")
 
 
 @stage("$unionWith")
@@ -428,18 +475,27 @@ def _window_fields(df, spec, _):
         elif fn == "$locf":
             out[name] = F.last(compile_expr(scope, arg).col, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         elif fn == "$push":
-            out[name] = F.collect_list(compile_expr(scope, arg).col).over(over)
+            out[name] = F.transform(F.collect_list(F.struct(compile_expr(scope, arg).col.alias("v"))).over(over), lambda x: x["v"])
         elif fn in ("$first", "$last"):
             out[name] = (F.first if fn == "$first" else F.last)(compile_expr(scope, arg).col).over(over)
         elif fn == "$derivative":
             c, t = compile_expr(scope, arg["input"]).col.cast("double"), sort[0][0].cast("double")
             out[name] = F.try_divide(F.last(c).over(over) - F.first(c).over(over), F.last(t).over(over) - F.first(t).over(over))
         elif fn == "$addToSet":
-            out[name] = F.sort_array(F.collect_set(compile_expr(scope, arg).col)).over(over)
+            out[name] = F.transform(F.array_sort(F.collect_set(F.struct(compile_expr(scope, arg).col.alias("v"))).over(over)), lambda x: x["v"])
+        elif fn == "$expMovingAvg":
+            alpha = float(arg["alpha"]) if "alpha" in arg else 2.0 / (arg["N"] + 1)
+            rows = math.ceil(40 / alpha)  # what is farther back weighs e^-40 at most, which a double can't tell from nothing
+            xs = F.collect_list(compile_expr(scope, arg["input"]).col.cast("double")).over(w.rowsBetween(-rows, Window.currentRow))
+            out[name] = F.aggregate(xs, F.lit(None).cast("double"), lambda acc, x, a=alpha: F.when(acc.isNull(), x).otherwise(a * x + (1 - a) * acc))
+        elif fn == "$integral":
+            c, t = compile_expr(scope, arg["input"]).col.cast("double"), sort[0][0].cast("double") / SECONDS[arg.get("unit")]
+            df = df.withColumn(f"_area_{name}", F.coalesce((t - F.lag(t).over(w)) * (c + F.lag(c).over(w)) / 2, F.lit(0.0)))
+            out[name] = F.sum(f"_area_{name}").over(over) - F.first(f"_area_{name}").over(over)
         else:
             agg = accumulator(scope, fn, arg, order_of(df))
             out[name] = F.coalesce(F.sum(compile_expr(scope, arg).col).over(over), F.lit(0)) if fn == "$sum" else agg.over(over)
-    return df.withColumns(out)
+    return df.withColumns(out).drop(*[f"_area_{name}" for name in out])
 
 
 @stage("$fill")
@@ -454,8 +510,18 @@ def _fill(df, spec, _):
             out[name] = F.coalesce(c, compile_expr(scope, how["value"]).col)
         elif how.get("method") == "locf":
             out[name] = F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        elif how.get("method") == "linear":
+            (by, _), *more = spec["sortBy"].items()
+            if more:
+                raise QueryError("linear $fill takes one sort field")
+            at = scope.field(by).col.cast("double")
+            known = F.when(c.isNotNull(), F.struct(at.alias("t"), c.cast("double").alias("v")))
+            lo = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            hi = F.first(known, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+            between = lo["v"] + (hi["v"] - lo["v"]) * F.try_divide(at - lo["t"], hi["t"] - lo["t"])
+            out[name] = F.coalesce(c.cast("double"), between)
         else:
-            raise QueryError("$fill knows value and locf")
+            raise QueryError("$fill knows value, locf and linear")
     return df.withColumns(out)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.functions.predicate import QueryError, compile_on, compile_query, condition
-from docmill.functions.values import Scope, Value, literal
+from docmill.functions.values import Scope, Value, literal, with_path
 
 DELTAS = ("$set", "$unset", "$inc", "$mul", "$rename", "$min", "$max", "$push", "$addToSet", "$pull", "$pullAll", "$pop", "$currentDate")
 
@@ -69,7 +69,9 @@ def update(frame: DataFrame, query: dict, delta: dict) -> DataFrame:
         if not rest:
             changed[top] = F.when(match, _fitting(new, frame.schema[top].dataType, frame)).otherwise(F.col(f"`{top}`"))
         else:
-            changed[top] = F.when(match, base.withField(".".join(rest), new)).otherwise(F.col(f"`{top}`"))
+            kind = frame.select(base.alias("x")).schema["x"].dataType
+            put_in = with_path(base, kind, rest, lambda old: F.when(match, new) if old is None else F.when(match, new).otherwise(old))
+            changed[top] = F.when(match | base.isNotNull(), put_in)
 
     for name, fields in delta.items():
         for path, x in fields.items():

@@ -10,10 +10,8 @@ from __future__ import annotations
 import datetime
 import json
 import os
-import shutil
 import threading
 import uuid
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,47 +25,74 @@ _guard = threading.Lock()
 
 
 class ParquetStore:
-    """The "fs" adapter; "indexeddb" and "localstorage" are names for it as well."""
+    """The "fs" adapter; "indexeddb" and "localstorage" are names for it as well. Any file system that Hadoop knows."""
+
+    MOST = 32  # segments, beyond which an append makes them one
 
     def __init__(self, spark: SparkSession, root: str, name: str, columns: list[dict] | None):
-        self.spark, self.dir = spark, Path(root) / name
+        root = root if "://" in root else os.path.abspath(root)
+        self.spark, self.dir = spark, f"{root.rstrip('/')}/{name}"
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.dir).getFileSystem(spark._jsc.hadoopConfiguration())
         with _guard:
-            self.lock = _locks.setdefault(str(self.dir), threading.RLock())
-        self.dir.mkdir(parents=True, exist_ok=True)
-        if not (self.dir / "manifest.json").exists():
-            self._commit({"columns": columns or [], "segments": [], "next": 0})
+            self.lock = _locks.setdefault(self.dir, threading.RLock())
+        with self.lock:
+            self._fs.mkdirs(self._path(self.dir))
+            if not self._fs.exists(self._path(f"{self.dir}/manifest.json")):
+                self._commit({"columns": columns or [], "segments": [], "next": 0})
 
     def manifest(self) -> dict:
-        return json.loads((self.dir / "manifest.json").read_text())
+        stream = self._fs.open(self._path(f"{self.dir}/manifest.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _commit(self, manifest: dict) -> None:
-        new = self.dir / f"manifest-{uuid.uuid4().hex}.json~"
-        new.write_text(json.dumps(manifest, indent=2))
-        os.replace(new, self.dir / "manifest.json")
-
-    def _write(self, df: DataFrame) -> str:
+        """Writes the manifest beside the old one, and puts it in its place by one rename."""
+        jvm, new = self.spark._jvm, self._path(f"{self.dir}/manifest-{uuid.uuid4().hex}.json~")
+        stream = self._fs.create(new, True)
+        stream.write(bytearray(json.dumps(manifest, indent=2).encode()))
+        stream.close()
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        ways = self.spark.sparkContext._gateway.new_array(rename, 1)
+        ways[0] = rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        at = lambda p: self._fs.makeQualified(p)
+        context.rename(at(new), at(self._path(f"{self.dir}/manifest.json")), ways)
+
+    def _write(self, df: DataFrame) -> dict:
         name = f"segment-{uuid.uuid4().hex}"
-        df.write.parquet(f"file://{self.dir / name}")
-        return name
+        df.write.parquet(f"{self.dir}/{name}")
+        return {"name": name, "schema": self.spark.read.parquet(f"{self.dir}/{name}").schema.json()}
 
     def append(self, df: DataFrame, n: int) -> None:
         with self.lock:
             m = self.manifest()
-            name = self._write(df.withColumn(SEQ, F.col(SEQ) + m["next"]))
-            self._commit(m | {"segments": [*m["segments"], name], "next": m["next"] + n})
+            segments = [*m["segments"], self._write(df.withColumn(SEQ, F.col(SEQ) + m["next"]))]
+            if len(segments) > self.MOST:
+                segments = [self._write(self._union(segments))]
+            self._commit(m | {"segments": segments, "next": m["next"] + n})
 
     def replace(self, df: DataFrame) -> None:
         with self.lock:
             m = self.manifest()
             self._commit(m | {"segments": [self._write(df)]})
 
+    def _union(self, segments: list[dict]) -> DataFrame:
+        """All segments, those of one schema in one scan."""
+        paths: dict[str, list[str]] = {}
+        for s in segments:
+            paths.setdefault(s["schema"], []).append(f"{self.dir}/{s['name']}")
+        return union([self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(*own) for schema, own in paths.items()])
+
     def read(self) -> DataFrame | None:
-        segments = [self.spark.read.parquet(f"file://{self.dir / s}") for s in self.manifest()["segments"]]
-        return union(segments) if segments else None
+        segments = self.manifest()["segments"]
+        return self._union(segments) if segments else None
 
     def destroy(self) -> None:
         with self.lock:
-            shutil.rmtree(self.dir, ignore_errors=True)
+            self._fs.delete(self._path(self.dir), True)
 
 
 class MemoryStore:
