@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from docmill.functions.accum import accumulator
 from docmill.functions.expr import compile_expr
-from docmill.functions.predicate import QueryError, compile_on, compile_query
+from docmill.functions.predicate import QueryError, compile_on, compile_query, condition
 from docmill.functions.values import SEQ, Scope, Value, walk, with_path
 
 STAGES: dict[str, Callable[..., DataFrame]] = {}
@@ -70,7 +70,8 @@ def _nested(specs: dict) -> dict[str, Any]:
 
 def _matching(v: Value, q: dict) -> Callable[[Column], Column]:
     inner = v.type.elementType
-    return lambda e: F.coalesce(compile_on(v.scope.element(e, inner), q), F.lit(False))
+    test = condition if q and all(k.startswith("$") for k in q) and not isinstance(inner, T.StructType) else compile_on
+    return lambda e: F.coalesce(test(v.scope.element(e, inner), q), F.lit(False))
 
 
 def _is_flag(x: Any) -> bool:
@@ -445,6 +446,11 @@ def _out(df, path, _):
     return df
 
 
+def _decaying(xs: Column, alpha: float) -> Column:
+    """The exponential moving average of an array, from its first value on."""
+    return F.aggregate(xs, F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x).otherwise(alpha * x + (1 - alpha) * acc))
+
+
 @stage("$setWindowFields")
 def _window_fields(df, spec, _):
     scope = Scope(df)
@@ -487,7 +493,7 @@ def _window_fields(df, spec, _):
             alpha = float(arg["alpha"]) if "alpha" in arg else 2.0 / (arg["N"] + 1)
             rows = math.ceil(40 / alpha)  # what is farther back weighs e^-40 at most, which a double can't tell from nothing
             xs = F.collect_list(compile_expr(scope, arg["input"]).col.cast("double")).over(w.rowsBetween(-rows, Window.currentRow))
-            out[name] = F.aggregate(xs, F.lit(None).cast("double"), lambda acc, x, a=alpha: F.when(acc.isNull(), x).otherwise(a * x + (1 - a) * acc))
+            out[name] = _decaying(xs, alpha)
         elif fn == "$integral":
             c, t = compile_expr(scope, arg["input"]).col.cast("double"), sort[0][0].cast("double") / SECONDS[arg.get("unit")]
             df = df.withColumn(f"_area_{name}", F.coalesce((t - F.lag(t).over(w)) * (c + F.lag(c).over(w)) / 2, F.lit(0.0)))

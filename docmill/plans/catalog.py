@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -172,6 +173,83 @@ _agg("window_running_sum", "events", [{"$setWindowFields": {"partitionBy": "$use
 _agg("window_shift", "events", [{"$setWindowFields": {"partitionBy": "$user_id", "sortBy": {"event_id": 1}, "output": {"prev": {"$shift": {"output": "$event_type", "by": -1, "default": "none"}}}}}, {"$project": {"_id": 0, "event_id": 1, "prev": 1}}], "SELECT event_id, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id), 'none') AS prev FROM events")
 
 
+# families of operators, each with all of its members
+_find("find_bits_any", "events", {"event_id": {"$bitsAnySet": 5, "$bitsAllClear": [1, 3]}}, "event_id & 5 <> 0 AND event_id & 10 = 0", "event_id, user_id")
+_find("find_eq_operator", "orders", {"o_orderstatus": {"$eq": "F"}, "o_orderpriority": re.compile("^[12]-")}, "o_orderstatus = 'F' AND regexp_matches(o_orderpriority, '^[12]-')", _O)
+_find("find_negative_offset", "orders", {"o_orderstatus": "F"}, "o_orderstatus = 'F'", "o_orderkey, o_totalprice", "ORDER BY o_orderkey DESC LIMIT 30", sort={"asc": "o_orderkey"}, offset=-30)
+_X = {"$divide": ["$c_acctbal", 20000]}
+_TRIG = {"$tan": "tan", "$asin": "asin", "$acos": "acos", "$atan": "atan", "$sinh": "sinh", "$cosh": "cosh", "$asinh": "asinh", "$atanh": "atanh", "$radiansToDegrees": "degrees", "$exp": "exp"}
+_expr("expr_trig_all", "customer", ["c_custkey"], {f"f_{f}": {"$round": [{"$add": [2, {o: _X}]}, 6]} for o, f in _TRIG.items()}, ", ".join(f"round(2 + {f}(c_acctbal / 20000), 6) AS f_{f}" for f in _TRIG.values()))
+_expr("expr_logs", "customer", ["c_custkey"], {"e": {"$round": [{"$ln": {"$add": ["$c_custkey", 1]}}, 6]}, "t": {"$round": [{"$log10": {"$add": ["$c_custkey", 1]}}, 6]}, "h": {"$round": [{"$acosh": {"$add": ["$c_custkey", 1]}}, 6]}}, "round(ln(c_custkey + 1), 6) AS e, round(log10(c_custkey + 1), 6) AS t, round(acosh(c_custkey + 1), 6) AS h")
+_expr("expr_bit_not", "events", ["event_id"], {"x": {"$bitNot": "$event_id"}}, "~event_id AS x")
+_expr("expr_convert_all", "events", ["event_id"], {"l": {"$toLong": {"$toString": "$event_id"}}, "d": {"$toDouble": {"$toDecimal": "$event_id"}}, "ms": {"$toLong": {"$toDate": {"$toLong": "$ts"}}}, "y": {"$year": {"$toDate": {"$toString": "$ts"}}}}, "event_id AS l, event_id::DOUBLE AS d, epoch_us(ts) // 1000 AS ms, year(ts)::INT AS y")
+_expr("expr_set_field", "nation", ["n_nationkey"], {"a": {"$setField": {"field": "y", "input": {"x": "$n_name"}, "value": "$n_regionkey"}}, "b": {"$unsetField": {"field": "x", "input": {"x": "$n_name", "z": 1}}}}, "n_name AS x, n_regionkey AS y, 1 AS z", lambda d: d.select("n_nationkey", "a.x", "a.y", "b.z"))
+_expr("expr_date_to_parts", "events", ["event_id"], {"p": {"$dateToParts": {"date": "$ts"}}, "m": {"$dateFromParts": {"year": {"$year": "$ts"}, "month": {"$month": "$ts"}, "day": 1}}}, "year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day, hour(ts)::INT AS hour, date_trunc('month', ts)::TIMESTAMP AS m", lambda d: d.select("event_id", "p.year", "p.month", "p.day", "p.hour", d["m"].cast("timestamp_ntz").alias("m")))
+_expr("expr_variables", "nation", ["n_nationkey"], {"r": "$$ROOT.n_name", "c": "$$CURRENT.n_regionkey", "later": {"$gt": ["$$NOW", datetime.datetime(2020, 1, 1)]}, "gone": {"$ifNull": ["$$REMOVE", "gone"]}, "lit": {"$literal": "$n_name"}}, "n_name AS r, n_regionkey AS c, true AS later, 'gone' AS gone, '$n_name' AS lit")
+_NS = ["$n_nationkey", 3, "$n_regionkey", 9]
+_expr("expr_array_n", "nation", ["n_nationkey"], {"l": {"$last": [_NS]}, "no": {"$nin": ["$n_nationkey", [1, 2, 3]]}, "f2": {"$firstN": {"n": 2, "input": _NS}}, "l2": {"$lastN": {"n": 2, "input": _NS}}, "hi": {"$maxN": {"n": 2, "input": _NS}}, "lo": {"$minN": {"n": 2, "input": _NS}}, "at": {"$indexOfBytes": ["$n_name", "_"]}},
+      "9 AS l, n_nationkey NOT IN (1, 2, 3) AS no, n_nationkey || ',3' AS f2, n_regionkey || ',9' AS l2, array_to_string(list_reverse_sort([n_nationkey, 3, n_regionkey, 9])[1:2], ',') AS hi, array_to_string(list_sort([n_nationkey, 3, n_regionkey, 9])[1:2], ',') AS lo, instr(n_name, '_') - 1 AS at", _text("f2", "l2", "hi", "lo"))
+_expr("expr_function", "nation", ["n_nationkey"], {"x": {"$function": {"body": lambda a, b: a * 10 + b, "args": ["$n_nationkey", "$n_regionkey"]}}, "r": {"$lt": [{"$rand": {}}, 1]}}, "n_nationkey * 10 + n_regionkey AS x, true AS r")
+_seq_events = lambda spark, d: Collection.from_df(table(spark, d, "events").withColumn("_seq", F.col("event_id")))
+_joined = lambda *cs: lambda d: d.select("_id", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in cs])
+_queries["acc_first_n"] = lambda spark, d: _joined("f", "l", "hi")(_seq_events(spark, d).aggregate([{"$group": {"_id": "$user_id", "f": {"$firstN": {"n": 2, "input": "$event_id"}}, "l": {"$lastN": {"n": 2, "input": "$event_id"}}, "hi": {"$maxN": {"n": 2, "input": "$event_id"}}}}]))
+_sql["acc_first_n"] = "SELECT user_id AS _id, array_to_string(list_sort(list(event_id))[1:2], ',') AS f, array_to_string(list_sort(list(event_id))[-2:], ',') AS l, array_to_string(list_reverse_sort(list(event_id))[1:2], ',') AS hi FROM events GROUP BY 1"
+_BY = {"event_type": -1, "event_id": 1}
+_queries["acc_top_bottom"] = lambda spark, d: _seq_events(spark, d).aggregate([{"$group": {"_id": "$user_id", "t": {"$top": {"sortBy": _BY, "output": "$event_id"}}, "b": {"$bottom": {"sortBy": _BY, "output": "$event_id"}}, "b2": {"$bottomN": {"n": 2, "sortBy": _BY, "output": "$event_id"}}}}]).withColumn("b2", F.array_join("b2", ","))
+_sql["acc_top_bottom"] = "WITH g AS (SELECT user_id AS _id, list(event_id ORDER BY event_type DESC, event_id) AS x FROM events GROUP BY 1) SELECT _id, x[1] AS t, x[-1] AS b, array_to_string(x[-2:], ',') AS b2 FROM g"
+_agg("acc_accumulator", "events", [{"$group": {"_id": "$event_type", "x": {"$accumulator": {"body": lambda c: F.sum(c * 2), "args": ["$event_id"]}}}}], "SELECT event_type AS _id, sum(event_id * 2)::BIGINT AS x FROM events GROUP BY 1")
+_agg("stage_replace_with", "nation", [{"$replaceWith": {"key": "$n_nationkey", "name": "$n_name"}}, {"$set": {"twice": {"$multiply": ["$key", 2]}}}], "SELECT n_nationkey AS key, n_name AS name, n_nationkey * 2 AS twice FROM nation")
+_GAPS = [{"$project": {"_id": 0, "event_id": 1, "user_id": 1, "v": {"$cond": [{"$eq": [{"$mod": ["$event_id", 3]}, 0]}, "$event_id", None]}}}]
+_GAPS_SQL = "WITH g AS (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN event_id END AS v FROM events)"
+_agg("stage_fill", "events", [*_GAPS, {"$fill": {"output": {"v": {"value": -1}}}}], f"{_GAPS_SQL} SELECT event_id, user_id, coalesce(v, -1) AS v FROM g")
+_agg("stage_fill_locf", "events", [*_GAPS, {"$fill": {"partitionByFields": ["user_id"], "sortBy": {"event_id": 1}, "output": {"v": {"method": "locf"}}}}, {"$set": {"v": {"$toDouble": "$v"}}}], f"{_GAPS_SQL} SELECT event_id, user_id, (last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DOUBLE AS v FROM g")
+_agg("stage_fill_linear", "events", [*_GAPS, {"$fill": {"partitionByFields": ["user_id"], "sortBy": {"event_id": 1}, "output": {"v": {"method": "linear"}}}}, {"$set": {"v": {"$round": ["$v", 4]}}}],
+     f"{_GAPS_SQL} SELECT event_id, user_id, CASE WHEN first_value(v IGNORE NULLS) OVER b IS NOT NULL AND last_value(v IGNORE NULLS) OVER a IS NOT NULL THEN event_id::DOUBLE END AS v FROM g WINDOW a AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
+_agg("stage_densify", "nation", [{"$match": {"n_nationkey": {"$mod": [4, 0]}}}, {"$project": {"_id": 0, "n_nationkey": 1, "n_name": 1}}, {"$densify": {"field": "n_nationkey", "range": {"step": 2, "bounds": "full"}}}], "SELECT k::INT AS n_nationkey, n_name FROM range(0, (SELECT max(n_nationkey) FROM nation WHERE n_nationkey % 4 = 0) + 1, 2) t(k) LEFT JOIN nation ON n_nationkey = k AND n_nationkey % 4 = 0", lambda d: d.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name"))
+_agg("stage_project_slice", "lineitem", [*_QS, {"$project": {"qs": {"$slice": 2}}}], f"{_U} SELECT l_orderkey AS _id, array_to_string(qs[1:2], ',') AS qs FROM g", lambda d: d.withColumn("qs", F.array_join(F.transform("qs", lambda x: x.cast("string")), ",")))
+_agg("stage_project_elem_match", "lineitem", [*_QS, {"$project": {"qs": {"$elemMatch": {"$gte": 30}}}}], f"{_U} SELECT l_orderkey AS _id, list_filter(qs, lambda x: x >= 30)[1] AS qs FROM g")
+_agg("stage_redact_descend", "nation", [{"$project": {"_id": 0, "n_nationkey": 1, "level": {"$literal": 0}, "sub": {"level": "$n_regionkey", "name": "$n_name"}}}, {"$redact": {"$cond": [{"$gt": ["$level", 2]}, "$$PRUNE", "$$DESCEND"]}}], "SELECT n_nationkey, CASE WHEN n_regionkey <= 2 THEN n_name END AS name FROM nation", lambda d: d.select("n_nationkey", "sub.name"))
+_W = "PARTITION BY user_id ORDER BY event_id"
+_windowed = lambda out, *cs: [{"$setWindowFields": {"partitionBy": "$user_id", "sortBy": {"event_id": 1}, "output": out}}, {"$project": {"_id": 0, "event_id": 1, **{c: 1 for c in out}}}]
+_near = {"window": {"documents": [-2, 1]}}
+_agg("window_frames", "events", _windowed({"lo": {"$min": "$event_id", **_near}, "avg": {"$avg": "$event_id", **_near}, "f": {"$first": "$event_id", **_near}, "l": {"$last": "$event_id", **_near}, "n": {"$count": {}, **_near}, "r": {"$sum": "$event_id", "window": {"range": [-50, 50]}}}),
+     f"SELECT event_id, min(event_id) OVER w AS lo, avg(event_id) OVER w AS avg, first_value(event_id) OVER w AS f, last_value(event_id) OVER w AS l, count(*) OVER w AS n, (sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 50 PRECEDING AND 50 FOLLOWING))::BIGINT AS r FROM events WINDOW w AS ({_W} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)")
+_odd = {"$cond": [{"$eq": [{"$mod": ["$event_id", 2]}, 1]}, "$event_type", None]}
+_agg("window_push", "events", _windowed({"p": {"$push": _odd, **_near}, "s": {"$addToSet": "$event_type", **_near}}), f"SELECT event_id, array_to_string(list_transform(list(CASE WHEN event_id % 2 = 1 THEN event_type END) OVER w, lambda x: coalesce(x, '-')), ',') AS p, array_to_string(list_sort(list_distinct(list(event_type) OVER w)), ',') AS s FROM events WINDOW w AS ({_W} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)", lambda d: d.select("event_id", F.array_join("p", ",", "-").alias("p"), F.array_join("s", ",").alias("s")))
+_agg("window_spread", "events", _windowed({"sd": {"$stdDevPop": "$value", **_near}, "ss": {"$stdDevSamp": "$event_id", **_near}, "cp": {"$covariancePop": ["$event_id", "$user_id"], **_near}, "cs": {"$covarianceSamp": ["$event_id", "$event_id"], **_near}}), f"SELECT event_id, round(stddev_pop(value) OVER w, 3) AS sd, round(stddev_samp(event_id) OVER w, 3) AS ss, round(covar_pop(event_id, user_id) OVER w, 3) + 0.0 AS cp, round(covar_samp(event_id, event_id) OVER w, 2) AS cs FROM events WINDOW w AS ({_W} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)", lambda d: d.select("event_id", F.round("sd", 3).alias("sd"), F.round("ss", 3).alias("ss"), (F.round("cp", 3) + F.lit(0.0)).alias("cp"), F.round("cs", 2).alias("cs")))
+_agg("window_slopes", "events", _windowed({"d": {"$derivative": {"input": "$user_id"}, "window": {"documents": [-1, 0]}}, "i": {"$integral": {"input": "$user_id"}, "window": {"documents": ["unbounded", "current"]}}}), f"SELECT event_id, CASE WHEN lag(event_id) OVER ({_W}) IS NOT NULL THEN 0.0::DOUBLE END AS d, (user_id * (event_id - min(event_id) OVER ({_W})))::DOUBLE AS i FROM events")
+_queries["window_exp_moving_avg"] = lambda spark, d: Collection.from_df(table(spark, d, "nation")).aggregate([{"$setWindowFields": {"partitionBy": "$n_regionkey", "sortBy": {"n_nationkey": 1}, "output": {"e": {"$expMovingAvg": {"input": "$n_nationkey", "N": 3}}}}}]).select("n_nationkey", F.round("e", 6).alias("e"))
+_sql["window_exp_moving_avg"] = """
+WITH RECURSIVE o AS (SELECT n_nationkey AS k, n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation),
+e(r, i, k, x) AS (SELECT r, i, k, k::DOUBLE FROM o WHERE i = 1 UNION ALL SELECT o.r, o.i, o.k, 0.5 * o.k + 0.5 * e.x FROM e JOIN o ON o.r = e.r AND o.i = e.i + 1)
+SELECT k AS n_nationkey, round(x, 6) AS e FROM e"""
+_agg("lookup_array", "region", [{"$project": {"_id": 0, "r_regionkey": 1, "keys": ["$r_regionkey", {"$add": ["$r_regionkey", 10]}, "$r_regionkey"]}}, {"$lookup": {"from": "nation", "localField": "keys", "foreignField": "n_nationkey", "as": "ns"}}], "SELECT r_regionkey, (SELECT string_agg(n_name, ',' ORDER BY n_name) FROM nation WHERE n_nationkey IN (r_regionkey, r_regionkey + 10)) AS names FROM region", lambda d: d.select("r_regionkey", F.array_join(F.array_sort("ns.n_name"), ",").alias("names")), ("nation",))
+_agg("graph_lookup", "nation", [{"$graphLookup": {"from": "nation", "startWith": "$n_regionkey", "connectFromField": "n_regionkey", "connectToField": "n_nationkey", "as": "up", "depthField": "depth"}}],
+     "WITH RECURSIVE r(s, k, depth) AS (SELECT DISTINCT n_regionkey, n_regionkey, 0 FROM nation UNION SELECT r.s, n.n_regionkey, r.depth + 1 FROM r JOIN nation n ON n.n_nationkey = r.k WHERE r.depth < 30), f AS (SELECT s, k, min(depth) AS depth FROM r JOIN nation ON n_nationkey = k GROUP BY 1, 2) SELECT n_nationkey, (SELECT string_agg(k || ':' || depth, ',' ORDER BY k) FROM f WHERE s = n_regionkey) AS up FROM nation",
+     lambda d: d.select("n_nationkey", F.array_join(F.transform(F.array_sort(F.transform("up", lambda x: F.struct(x["n_nationkey"].alias("k"), x["depth"].alias("d")))), lambda x: F.concat(x["k"].cast("string"), F.lit(":"), x["d"].cast("string"))), ",").alias("up")), ("nation",))
+
+
+def _update_lists(name: str, delta: dict, sql: str) -> None:
+    """Deltas of arrays and objects, over [n_regionkey, 1, 2] and a null object."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        made = table(spark, d, "nation").select("n_nationkey", "n_regionkey", F.array("n_regionkey", F.lit(1), F.lit(2)).alias("xs"), F.when(F.col("n_regionkey") > 1, F.struct(F.col("n_name").alias("a"), F.lit(1).alias("b"))).alias("o"))
+        out = update(made, {"n_nationkey": {"$gte": 5}}, delta)
+        return out.select("n_nationkey", F.array_join(F.transform("xs", lambda x: x.cast("string")), ",").alias("xs"), F.col("o.a").alias("a"), F.col("o.b").cast("double").alias("b"))
+
+    _queries[name] = run
+    _sql[name] = f"WITH t AS (SELECT *, [n_regionkey, 1, 2] AS xs, n_nationkey >= 5 AS m, CASE WHEN n_regionkey > 1 THEN n_name END AS a, CASE WHEN n_regionkey > 1 THEN 1 END AS b FROM nation) SELECT n_nationkey, array_to_string({sql}, ',') AS xs, a, ({'CASE WHEN m THEN 7 ELSE b END' if 'o.b' in str(delta) else 'b'})::DOUBLE AS b FROM t"
+
+
+_update_lists("update_pull", {"$pull": {"xs": {"$gte": 2}}}, "CASE WHEN m THEN list_filter(xs, lambda x: x < 2) ELSE xs END")
+_update_lists("update_pull_all", {"$pullAll": {"xs": [1, 3]}}, "CASE WHEN m THEN list_filter(xs, lambda x: x NOT IN (1, 3)) ELSE xs END")
+_update_lists("update_pop", {"$pop": {"xs": 1}}, "CASE WHEN m THEN xs[1:2] ELSE xs END")
+_update_lists("update_add_to_set", {"$addToSet": {"xs": {"$each": [1, 8]}}}, "CASE WHEN m THEN list_append(xs, 8) ELSE xs END")
+_update_lists("update_dotted", {"$set": {"o.b": 7}}, "xs")
+_queries["update_current_date"] = lambda spark, d: update(table(spark, d, "nation"), {"n_regionkey": 1}, {"$currentDate": {"at": True}}).select("n_nationkey", (F.col("at") > F.lit("2020-01-01").cast("timestamp")).alias("now"))
+_sql["update_current_date"] = "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN true END AS now FROM nation"
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -74,11 +74,11 @@ def test_demo_with_mixed_ids(db):
     assert (found.total_count, found.count) == (100, 20)
     assert [r["name"] for r in found.rows.collect()] == [f"n{i}" for i in range(189, 169, -1)]
     assert c.find_many({"_id": 3}).count == 1
-    c.update_many({"_id": 3}, {"$set": {"steve": "steve"}})
+    c.update_many({"_id": 3}, {"$set": {"note": "seen"}})
     assert [r["name"] for r in c.find_many({"_id": {"$in": [3, 2]}}).rows.collect()] == ["n2", "n3"]
     (row,) = c.aggregate([{"$match": {"_id": 3}}]).collect()
-    assert row["steve"] == "steve"
-    assert c.find_many({"steve": {"$exists": True}}).count == 1
+    assert row["note"] == "seen"
+    assert c.find_many({"note": {"$exists": True}}).count == 1
     assert c.find_many({"_id": "test", "date": None}).count == 1
 
 
@@ -110,3 +110,15 @@ def test_concurrent_inserts_lose_nothing(spark, tmp_path):
 
 def test_from_df(spark):
     assert Collection.from_df(spark.range(5)).find_many({"id": {"$lt": 2}}).count == 2
+
+
+def test_many_small_inserts_are_compacted(spark, tmp_path, monkeypatch):
+    from docmill.sources.store import ParquetStore
+
+    monkeypatch.setattr(ParquetStore, "MOST", 3)
+    c = Database(spark, f"file://{tmp_path}").init_collection("c")
+    for i in range(9):
+        c.insert_one({"_id": i} | ({"x": i} if i % 2 else {}))
+    assert len(c._store.manifest()["segments"]) <= 3
+    assert [r["_id"] for r in c.aggregate([]).collect()] == list(range(9))
+    assert c.find_many({"x": {"$gte": 5}}).count == 2
