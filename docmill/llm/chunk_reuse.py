@@ -7,7 +7,7 @@ text; what lies between two cores is a join.
 
 1. One pass cuts every text and writes the hashes of the text and of its cores. Cores that occur twice or more set a
    bit in a filter, and so do the hashes of texts that have one. The filters have 16 bits for each hash, up to a bound
-   beyond which they let more through; what they let through is held together by exact hashes.
+   beyond which they let more than one of 400 through; what they let through is held together by exact hashes.
 2. Texts in the second filter are reduced to distinct ones and written. All others are encoded where they are read.
 3. Of these, each core that several texts share is encoded once, in the text with the smallest key that holds it, and
    its ids are joined to every place.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import tokens
-from docmill.llm.common import bit_filter, has_bit, in_arrow, slices, written
+from docmill.llm.common import bit_filter, in_arrow, in_filter, slices, written
 
 CUT_BITS, LEAST_CORE = 10, 64
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -65,12 +65,6 @@ def _short(h: bytes) -> int:
     return int.from_bytes(h[:8], "little", signed=True)
 
 
-def _bits_of(hashes: list[int], held: np.ndarray) -> np.ndarray:
-    """Whether the filter has each of them."""
-    place = np.asarray(hashes, np.int64) % (8 * len(held))
-    return (held[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-
-
 def _joined(raw: bytes, spans: list[tuple[int, int]], have: dict[bytes, bytes], encode) -> bytes:
     """ids of the text: cores whose ids are known, and what lies between them encoded as one."""
     out, at = [], 0
@@ -107,7 +101,7 @@ def encode_documents(documents: DataFrame, path: str, *, id_col: str = "doc_id",
 
     def with_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield batch.filter(pa.array([bool(len(x)) and bool(_bits_of(x, shared.value).any()) for x in batch.column("cores").to_pylist()], pa.bool_())).select(["key"])
+            yield batch.filter(pa.array([bool(len(x)) and bool(in_filter(x, shared.value).any()) for x in batch.column("cores").to_pylist()], pa.bool_())).select(["key"])
 
     sharing = in_arrow(chunks.select("key", "cores"), with_shared, "key binary", "tokens").distinct()
 
@@ -118,7 +112,7 @@ def encode_documents(documents: DataFrame, path: str, *, id_col: str = "doc_id",
     aside = send(bit_filter(written(in_arrow(sharing, short, "h bigint", "tokens"), "sharing")))
 
     def is_aside(keys: list[bytes]) -> np.ndarray:
-        return _bits_of([_short(k) for k in keys], aside.value) if keys else np.empty(0, bool)
+        return in_filter([_short(k) for k in keys], aside.value) if keys else np.empty(0, bool)
 
     def set_aside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -107,15 +107,19 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def bit_filter(hashes: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
-    """Bytes of a filter in which the bit pmod(h, bits) of each hash (one bigint column, h) is set.
+SHIFTS = (0, 12, 24, 36)
 
-    bits is 16 times the number of hashes, rounded up to a power of two, and most_bits at most (16 MB as it stands): that
-    is the most that is sent around, however many hashes there are. has_bit() may say yes to a hash that isn't there, so
-    what it lets through is still joined.
+
+def bit_filter(hashes: DataFrame, most_bits: int = 1 << 28) -> np.ndarray:
+    """Bytes of a Bloom filter of hashes (one bigint column, h, whose bits are all random): four bits of each are set.
+
+    It has 16 bits for each hash, rounded up to a power of two, and most_bits at most (32 MB as it stands): that is the
+    most that is sent around, however many hashes there are. in_filter() may say yes to a hash that isn't there, in one of
+    400 cases below that bound, so what it lets through is still held together by exact values.
     """
     bits = min(max(1 << 12, 1 << (16 * hashes.count()).bit_length()), most_bits)
-    place = hashes.select(F.pmod("h", F.lit(bits)).alias("place"))
+    places = F.array(*[F.shiftrightunsigned("h", n).bitwiseAND(F.lit(bits - 1)) for n in SHIFTS])
+    place = hashes.select(F.explode(places).alias("place"))
     words = place.groupBy(F.shiftright("place", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("mask"))
     out = np.zeros(bits // 64, np.int64)
     for r in words.toLocalIterator():
@@ -123,9 +127,14 @@ def bit_filter(hashes: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def has_bit(held: np.ndarray, h: int) -> bool:
-    place = h % (8 * len(held))
-    return bool(held[place >> 3] >> (place & 7) & 1)
+def in_filter(hashes, held: np.ndarray) -> np.ndarray:
+    """For each hash whether the filter has it."""
+    h, mask = np.asarray(hashes, np.int64).view(np.uint64), np.uint64(8 * len(held) - 1)
+    out = np.ones(len(h), bool)
+    for n in SHIFTS:
+        place = h >> np.uint64(n) & mask
+        out &= (held[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return out
 
 
 def slices(batches, rows: int = 512):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmill.llm import shingles
-from docmill.llm.common import bit_filter, has_bit, in_arrow, slices, written
+from docmill.llm.common import bit_filter, in_filter, in_arrow, slices, written
 from docmill.llm.components import components
 
 PERMUTATIONS, BANDS, BLOCK, ROUNDS, PIVOTS, CLUSTER = 72, 24, 256, 1, 4, 4096
@@ -80,7 +80,7 @@ def _sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            batch = batch.filter(pa.array([has_bit(held.value, h) for h in batch.column("h").to_pylist()], pa.bool_()))
+            batch = batch.filter(pa.array(in_filter(batch.column("h").to_numpy(zero_copy_only=False), held.value)))
             raw = [x or b"" for x in batch.column("text").to_pylist()]
             for lo, hi in shingles.in_parts(raw):
                 sets = shingles.shingle_sets(raw[lo:hi])
