@@ -13,9 +13,13 @@ level if none has), of equal ones among these. Documents without any term in the
 all their terms, with "f" behind the last group. These terms travel with the document only where it has none of the PROBE
 most frequent terms of the lexicon; nearly all documents have one.
 
-Null texts are empty, and texts without terms have a fingerprint of zeros. Repeated rows come back one for each row;
-their order among themselves is that of their text. Null ids stand before all others. Columns of other names are left
-out. An empty table has no rows.
+The order of documents is that of their keys: (id is not null, id, hash of the text). Distinct keys, without texts, are
+range-partitioned and numbered inside partitions, and the last of a partition is followed by the first of the next; what
+is sorted or gathered in one task is a range of keys, or one key for each partition. Texts meet by joins on keys.
+
+Null texts are empty, and texts without terms have a fingerprint of zeros. Repeated rows come back one for each row; rows
+with one id stand in the order of their texts' hashes, null ids before all others. Very long texts are cut into words
+like others. Columns of other names are left out. An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 from docmill.llm.common import small_enough, written
 from docmill.llm.decontaminate import words_of
 
-LEVELS, SUBSETS, LEAST, PROBE, BUCKET = (4, 6, 8, 10), 16, 6, 256, 1024
+LEVELS, SUBSETS, LEAST, PROBE = (4, 6, 8, 10), 16, 6, 256
+KEY = ["has_id", "id", "h"]
 
 
 def lexicon(texts: DataFrame, *, text_col: str = "text", rare_share: float = 1 / 1000, common_share: float = 1 / 20) -> DataFrame:
@@ -39,30 +44,33 @@ def lexicon(texts: DataFrame, *, text_col: str = "text", rare_share: float = 1 /
     return frequent.filter((F.col("count") >= rare_share * n) & (F.col("count") <= max(common_share * n, 1)))
 
 
-def _bucketed(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Documents in buckets of neighbouring ids, and for each bucket the next one (after the last: the first)."""
-    docs = documents.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    no_id = F.lit(-(1 << 60)) + F.pmod(F.xxhash64("text"), F.lit(BUCKET))  # before all others, in many buckets
-    docs = docs.withColumn("b", F.coalesce(F.floor(F.col("id") / BUCKET).cast("bigint"), no_id)).withColumn("h", F.xxhash64("text"))
-    order = Window.orderBy("b")  # a row for each bucket
-    first = F.min("b").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return docs, docs.select("b").distinct().select("b", F.coalesce(F.lead("b").over(order), first).alias("next_b"))
+def _after(keys: DataFrame) -> DataFrame:
+    """KEY and n_* of the next key (after the last: the first) of distinct keys, beside their other columns."""
+    placed = written(keys.repartitionByRange(*KEY).withColumn("part", F.spark_partition_id()), "keys")
+    heads = placed.groupBy("part").agg(F.min(F.struct(*KEY)).alias("head"))
+    order = Window.orderBy("part")  # a row for each partition
+    first = F.min_by("head", "part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = heads.select(F.col("part").alias("p"), F.coalesce(F.lead("head").over(order), first).alias("head"))
+    inside = F.lead(F.struct(*KEY)).over(Window.partitionBy("part").orderBy(*KEY))
+    out = placed.withColumn("after", inside).join(F.broadcast(heads), F.col("part") == F.col("p"))  # a row for each partition
+    follows = F.coalesce("after", "head")
+    return out.select(*[c for c in keys.columns], *[follows[c].alias(f"n_{c}") for c in KEY])
 
 
 def edited_texts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, b, h, text, n_chars, edited: the last quarter replaced by the start of the next document.
-
-    The next document is found inside a bucket by a window; the last of a bucket takes the first of the next one.
-    """
-    docs, nexts = _bucketed(documents, id_col, text_col)
-    heads = docs.groupBy("b").agg(F.min_by("text", F.struct("id", "h")).alias("head")).withColumnRenamed("b", "hb")
-    heads = nexts.join(heads, F.col("next_b") == F.col("hb")).select(F.col("b").alias("nb"), "head")
-    inside = Window.partitionBy("b").orderBy("id", "h")
-    docs = docs.withColumn("after", F.lead("text").over(inside)).withColumn("n_chars", F.char_length("text"))
-    last = docs.join(heads, (F.col("b") == F.col("nb")) & F.col("after").isNull(), "left")
-    k = F.floor(F.col("n_chars") / 4).cast("int")
-    after = F.coalesce("after", "head", F.lit(""))
-    return last.select("id", "b", "h", "text", "n_chars", F.concat(F.col("text").substr(F.lit(1), F.col("n_chars") - k), after.substr(F.lit(1), k)).alias("edited"))
+    """KEY, copy (from 1, of equal rows), last (whether it is the last of these), n_* (the key of the next document), text,
+    n_chars, edited: the last quarter replaced by the start of the next document, which of equal rows is the next of them."""
+    text, own = F.coalesce(text_col, F.lit("")), F.col(id_col).cast("bigint")
+    docs = documents.select(own.isNotNull().alias("has_id"), F.coalesce(own, F.lit(0)).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    quarter = F.floor(F.char_length("text") / 4).cast("int")
+    keys = written(_after(docs.groupBy(*KEY).agg(F.count("*").alias("copies"), F.first(quarter).alias("k"))), "order")
+    texts = docs.groupBy(*KEY).agg(F.first("text").alias("text"))
+    wanted = keys.select(*[F.col(f"n_{c}").alias(c) for c in KEY], *[F.col(c).alias(f"of_{c}") for c in KEY], F.col("k").alias("of_k"))
+    heads = texts.join(wanted, KEY).select(*[F.col(f"of_{c}").alias(c) for c in KEY], F.col("text").substr(F.lit(1), F.col("of_k")).alias("head"))
+    out = texts.join(keys, KEY).join(heads, KEY).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    out = out.withColumn("last", F.col("copy") == F.col("copies")).withColumn("n_chars", F.char_length("text"))
+    start = F.when(F.col("last"), F.col("head")).otherwise(F.col("text").substr(F.lit(1), F.col("k")))
+    return out.select(*KEY, "copy", "last", *[f"n_{c}" for c in KEY], "text", "n_chars", F.concat(F.col("text").substr(F.lit(1), F.col("n_chars") - F.col("k")), start).alias("edited"))
 
 
 def _level(terms: str, shift: int, bits: int) -> Column:
@@ -98,17 +106,11 @@ def likeness(x: str, y: str) -> Column:
 
 
 def _finished(prints: DataFrame, id_col: str) -> DataFrame:
-    """Likeness to the edited text and to the next document, whose fingerprint is found as its text was."""
-    order = Window.orderBy("b")  # a row for each bucket
-    first = F.min("b").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    nexts = prints.select("b").distinct().select(F.col("b").alias("nb"), F.coalesce(F.lead("b").over(order), first).alias("next_b"))
-    heads = prints.groupBy(F.col("b").alias("hb")).agg(F.min_by("fingerprint", F.struct("id", "h")).alias("head"))
-    heads = nexts.join(heads, F.col("next_b") == F.col("hb")).select("nb", "head")
-    inside = Window.partitionBy("b").orderBy("id", "h")
-    out = prints.withColumn("after", F.lead("fingerprint").over(inside))
-    out = out.join(heads, (F.col("b") == F.col("nb")) & F.col("after").isNull(), "left").withColumn("next", F.coalesce("after", "head"))
+    """Likeness to the edited text and to the next document."""
+    follows = prints.filter(F.col("copy") == 1).select(*[F.col(c).alias(f"n_{c}") for c in KEY], F.col("fingerprint").alias("after"))
+    out = prints.join(follows, [f"n_{c}" for c in KEY]).withColumn("next", F.when(F.col("last"), F.col("after")).otherwise(F.col("fingerprint")))
     out = out.withColumn("near_edited", likeness("fingerprint", "edited_fingerprint")).withColumn("near_next", likeness("fingerprint", "next"))
-    return out.select(F.col("id").alias(id_col), F.col("n_chars").cast("bigint").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return out.select(F.when(F.col("has_id"), F.col("id")).alias(id_col), F.col("n_chars").cast("bigint").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def fingerprints(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rare_share: float = 1 / 1000, common_share: float = 1 / 20, broadcast_terms: int = 500_000) -> DataFrame:
@@ -119,18 +121,19 @@ def fingerprints(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     if small_enough(terms, broadcast_terms):
         terms = F.broadcast(terms)
     docs = edited_texts(documents, id_col=id_col, text_col=text_col)
-    docs = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("edited_sha256", F.sha2("edited", 256))
-    both = docs.select("id", "b", "h", "row", "n_chars", "edited_sha256", F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), "text"), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text")))).alias("x"))
+    docs = docs.withColumn("edited_sha256", F.sha2("edited", 256))
+    row, rest = [*KEY, "copy"], ["last", *[f"n_{c}" for c in KEY], "n_chars", "edited_sha256"]
+    both = docs.select(*row, *rest, F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), "text"), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text")))).alias("x"))
     both = both.withColumn("words", F.array_distinct(words_of(F.col("x.text"))))
     whole = F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))
     both = both.withColumn("whole", F.when(~F.arrays_overlap("words", F.array(*map(F.lit, usual))), whole) if usual else whole)
-    each = both.select("id", "b", "h", "row", "n_chars", "edited_sha256", "x.is_edited", "whole", F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("term"))  # a row without a term for each text
-    each = each.withColumn("whole", F.when(F.col("term").isNull(), F.col("whole")))
+    each = both.select(*row, F.struct(*rest).alias("rest"), "x.is_edited", "whole", F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("term"))  # a row without a term for each text
+    each = each.withColumn("whole", F.when(F.col("term").isNull(), F.col("whole"))).withColumn("rest", F.when(F.col("term").isNull(), F.col("rest")))
     each = each.join(terms, F.col("term") == F.col("known"), "left").filter("known is not null or term is null")
-    keys = ["b", "row", "is_edited"]
-    sets = each.groupBy(*keys).agg(F.first("id").alias("id"), F.first("h").alias("h"), F.first("n_chars").alias("n_chars"), F.first("edited_sha256").alias("edited_sha256"), F.array_sort(F.collect_list(F.when(F.col("known").isNotNull(), F.xxhash64("term")))).alias("own"), F.first("whole", ignorenulls=True).alias("whole"))
+    sets = each.groupBy(*row, "is_edited").agg(F.first("rest", ignorenulls=True).alias("rest"), F.array_sort(F.collect_list(F.when(F.col("known").isNotNull(), F.xxhash64("term")))).alias("own"), F.first("whole", ignorenulls=True).alias("whole"))
     sets = sets.withColumn("used", F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("whole")))
     marked = F.concat(_groups("used"), F.when((F.size("own") == 0) & (F.size("whole") > 0), F.lit("f")).otherwise(F.lit("")))
-    prints = sets.select("b", "row", "is_edited", "id", "h", "n_chars", "edited_sha256", marked.alias("print"))
-    pairs = prints.groupBy("b", "row").agg(F.first("id").alias("id"), F.first("h").alias("h"), F.first("n_chars").alias("n_chars"), F.first("edited_sha256").alias("edited_sha256"), F.max(F.when(~F.col("is_edited"), F.col("print"))).alias("fingerprint"), F.max(F.when(F.col("is_edited"), F.col("print"))).alias("edited_fingerprint"))
-    return _finished(written(pairs, "prints"), id_col)
+    prints = sets.select(*row, "is_edited", "rest", marked.alias("print"))
+    of = lambda edited: F.max(F.when(F.col("is_edited") == edited, F.col("print")))
+    pairs = prints.groupBy(*row).agg(F.first("rest").alias("rest"), of(False).alias("fingerprint"), of(True).alias("edited_fingerprint"))
+    return _finished(written(pairs.select(*row, "rest.*", "fingerprint", "edited_fingerprint"), "prints"), id_col)

@@ -319,13 +319,61 @@ def test_long_texts_without_a_term_in_the_lexicon(spark):
         assert len(prints[60]) == 256 and all(0 < got[i]["near_edited"] < 1 for i in (0, 19))
 
 
-def test_next_document_across_buckets(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "BUCKET", 3)
-    rows = [(i, f"{chr(97 + i)}" * (8 + i)) for i in (0, 1, 2, 4, 7, 9, 10, 19)]
-    got = {r["id"]: r["edited"] for r in fingerprints.edited_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    for (i, t), (_, after) in zip(rows, [*rows[1:], rows[0]], strict=True):
-        k = len(t) // 4
-        assert got[i] == t[: len(t) - k] + after[:k]
+def test_next_document(spark):
+    """Ids far apart, repeated ids with equal and with other texts, null ids, and a lone document."""
+    rows = [(i, f"{chr(97 + k)}" * (8 + k)) for k, i in enumerate((0, 1, 2, 4, 10**12, 2 * 10**12, 2 * 10**12 + 1, 3 * 10**15))]
+    rows += [(4, "same text of one id"), (4, "same text of one id"), (4, None), (None, "without an id"), (None, "without an id"), (None, "another text without")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    hashes = {r["text"]: r["h"] for r in table.selectExpr("coalesce(text, '') as text", "xxhash64(coalesce(text, '')) as h").collect()}
+    order = sorted(((i is not None, i or 0, hashes[t or ""], t or "") for i, t in rows))
+    want = []
+    for x, after in zip(order, [*order[1:], order[0]], strict=True):
+        k = len(x[3]) // 4
+        want.append((x[0], x[1], x[3][: len(x[3]) - k] + after[3][:k]))
+    got = fingerprints.edited_texts(table).collect()
+    assert sorted((r["has_id"], r["id"], r["edited"]) for r in got) == sorted(want)
+    one = fingerprints.fingerprints(table.filter("doc_id = 0")).collect()
+    assert len(one) == 1 and one[0]["near_next"] == 1.0 and one[0]["edited_sha256"] == hashlib.sha256(("a" * 8).encode()).hexdigest()
+
+
+def brute_prints(texts, hashes, rare=1 / 1000, common=1 / 20):
+    """Fingerprints of texts (the lexicon is that of the first list), by the definition; hashes: of a list of words, as Spark has them."""
+    n, df = len(texts[0]), Counter(w for t in texts[0] for w in set(words3(t)))
+    lexicon = {w for w, c in df.items() if rare * n <= c <= max(common * n, 1)}
+    out = []
+    for t in texts[1]:
+        words = set(words3(t))
+        used = sorted(hashes(w) for w in words & lexicon) or sorted(map(hashes, words))
+        groups = []
+        for shift, bits in zip((0, 4, 10, 18), (4, 6, 8, 10), strict=True):
+            for slot in range(16):
+                own = [x for x in used if (x >> shift) & ((1 << bits) - 1) == slot]
+                groups.append(f"{hashes(own) % 65535 + 1:04x}" if own else "0000")
+        out.append("".join(groups) + ("f" if words and not words & lexicon else ""))
+    return out
+
+
+def test_fingerprints_against_brute_force(spark, docs):
+    got = {(r["doc_id"], r["n_chars"]): r for r in fingerprints.fingerprints(docs).collect()}
+    texts = [r[1] or "" for r in DOCS]
+    words = sorted({w for t in texts for w in words3(t)})
+    of_word = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "xxhash64(w) as h").collect()}
+    wanted, known = [], {}
+
+    def hashes(x):
+        if isinstance(x, list):
+            if tuple(x) not in known:
+                wanted.append(x)
+                return 0
+            return known[tuple(x)]
+        return of_word[x]
+
+    brute_prints((texts, texts), hashes)
+    for r in spark.createDataFrame([(x,) for x in {tuple(x) for x in wanted}], "x array<bigint>").selectExpr("x", "xxhash64(x) as h").collect():
+        known[tuple(r["x"])] = r["h"]
+    for r, want in zip(DOCS, brute_prints((texts, texts), hashes), strict=True):
+        if r[0] is not None:
+            assert got[r[0], len(r[1] or "")]["fingerprint"] == want, r[0]
 
 
 # op7
