@@ -10,8 +10,8 @@ of its terms comes or goes, so short documents are told apart on the first level
 A fingerprint is 64 groups of four hexadecimal digits, 0000 where a subset has no term. Likeness of two fingerprints:
 1 if they are equal; else the largest share, over the levels on which either has LEAST subsets with terms (the first
 level if none has), of equal ones among these. Documents without any term in the lexicon, short or long, are hashed over
-all their terms, with "f" behind the last group. These terms travel with the document only where it has none of the PROBE
-most frequent terms of the lexicon; nearly all documents have one.
+all their terms, with "f" behind the last group. Terms are looked up by 64 bits of a hash, those that a text shares with
+its edited one only once.
 
 The order of documents is that of their keys: (id is not null, id, hash of the text). Distinct keys, without texts, are
 range-partitioned and numbered inside partitions, and the last of a partition is followed by the first of the next; what
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from docmill.llm.common import small_enough, written
 from docmill.llm.decontaminate import words_of
 
-LEVELS, SUBSETS, LEAST, PROBE = (4, 6, 8, 10), 16, 6, 256
+LEVELS, SUBSETS, LEAST = (4, 6, 8, 10), 16, 6
 KEY = ["has_id", "id", "h"]
 
 
@@ -115,25 +115,22 @@ def _finished(prints: DataFrame, id_col: str) -> DataFrame:
 
 def fingerprints(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rare_share: float = 1 / 1000, common_share: float = 1 / 20, broadcast_terms: int = 500_000) -> DataFrame:
     """Per document: id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    band = written(lexicon(documents, text_col=text_col, rare_share=rare_share, common_share=common_share), "lexicon")
-    usual = [r["term"] for r in band.orderBy(F.desc("count"), "term").limit(PROBE).collect()]
-    terms = band.select(F.col("term").alias("known"))
-    if small_enough(terms, broadcast_terms):
-        terms = F.broadcast(terms)
+    band = written(lexicon(documents, text_col=text_col, rare_share=rare_share, common_share=common_share).select(F.xxhash64("term").alias("known")).distinct(), "lexicon")
+    terms = F.broadcast(band) if small_enough(band, broadcast_terms) else band
     docs = edited_texts(documents, id_col=id_col, text_col=text_col)
-    docs = docs.withColumn("edited_sha256", F.sha2("edited", 256))
-    row, rest = [*KEY, "copy"], ["last", *[f"n_{c}" for c in KEY], "n_chars", "edited_sha256"]
-    both = docs.select(*row, *rest, F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), "text"), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text")))).alias("x"))
-    both = both.withColumn("words", F.array_distinct(words_of(F.col("x.text"))))
-    whole = F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))
-    both = both.withColumn("whole", F.when(~F.arrays_overlap("words", F.array(*map(F.lit, usual))), whole) if usual else whole)
-    each = both.select(*row, F.struct(*rest).alias("rest"), "x.is_edited", "whole", F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("term"))  # a row without a term for each text
-    each = each.withColumn("whole", F.when(F.col("term").isNull(), F.col("whole"))).withColumn("rest", F.when(F.col("term").isNull(), F.col("rest")))
-    each = each.join(terms, F.col("term") == F.col("known"), "left").filter("known is not null or term is null")
-    sets = each.groupBy(*row, "is_edited").agg(F.first("rest", ignorenulls=True).alias("rest"), F.array_sort(F.collect_list(F.when(F.col("known").isNotNull(), F.xxhash64("term")))).alias("own"), F.first("whole", ignorenulls=True).alias("whole"))
-    sets = sets.withColumn("used", F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("whole")))
-    marked = F.concat(_groups("used"), F.when((F.size("own") == 0) & (F.size("whole") > 0), F.lit("f")).otherwise(F.lit("")))
-    prints = sets.select(*row, "is_edited", "rest", marked.alias("print"))
-    of = lambda edited: F.max(F.when(F.col("is_edited") == edited, F.col("print")))
-    pairs = prints.groupBy(*row).agg(F.first("rest").alias("rest"), of(False).alias("fingerprint"), of(True).alias("edited_fingerprint"))
-    return _finished(written(pairs.select(*row, "rest.*", "fingerprint", "edited_fingerprint"), "prints"), id_col)
+    row, rest = [*KEY, "copy"], ["last", *[f"n_{c}" for c in KEY], "n_chars"]
+    hashed = lambda c: F.array_distinct(F.transform(words_of(F.col(c)), lambda w: F.xxhash64(w)))
+    docs = docs.select(*row, *rest, F.sha2("edited", 256).alias("edited_sha256"), hashed("text").alias("own"), hashed("edited").alias("edited"))
+    # the terms of both texts once, behind one element that carries the row's other values past the look-up
+    whole = F.struct(*rest, "edited_sha256", "own", "edited")
+    nothing = F.lit(None).cast(docs.select(whole.alias("x")).schema["x"].dataType)
+    head = F.array(F.struct(F.lit(None).cast("bigint").alias("term"), whole.alias("rest")))
+    each = docs.select(*row, F.explode(F.concat(head, F.transform(F.array_union("own", "edited"), lambda x: F.struct(x.alias("term"), nothing.alias("rest"))))).alias("x"))
+    each = each.select(*row, "x.term", "x.rest").join(terms, F.col("term") == F.col("known"), "left").filter("known is not null or term is null")
+    sets = each.groupBy(*row).agg(F.first("rest", ignorenulls=True).alias("rest"), F.collect_list("known").alias("known"))
+    sets = sets.select(*row, "rest.*", "known")
+    for name in ("own", "edited"):
+        sets = sets.withColumn(f"in_{name}", F.array_intersect(name, "known")).withColumn(f"used_{name}", F.array_sort(F.when(F.size(f"in_{name}") > 0, F.col(f"in_{name}")).otherwise(F.col(name))))
+    marked = lambda name: F.concat(_groups(f"used_{name}"), F.when((F.size(f"in_{name}") == 0) & (F.size(name) > 0), F.lit("f")).otherwise(F.lit("")))
+    prints = sets.select(*row, *rest, "edited_sha256", marked("own").alias("fingerprint"), marked("edited").alias("edited_fingerprint"))
+    return _finished(written(prints, "prints"), id_col)
