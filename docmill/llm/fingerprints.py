@@ -73,7 +73,12 @@ def edited_texts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     return out.select(*KEY, "copy", "last", *[f"n_{c}" for c in KEY], "text", "n_chars", F.concat(F.col("text").substr(F.lit(1), F.col("n_chars") - F.col("k")), start).alias("edited"))
 
 
-def _level(terms: str, shift: int, bits: int) -> Column:
+def _let(x: Column, f) -> Column:
+    """f(x), with x worked out once however often f names it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def _level(terms: Column, shift: int, bits: int) -> Column:
     """The 16 groups of one level."""
 
     def slot(x: Column) -> Column:
@@ -82,14 +87,14 @@ def _level(terms: str, shift: int, bits: int) -> Column:
     def hashed(own: Column) -> Column:
         return F.when(F.size(own) > 0, F.lpad(F.hex(F.pmod(F.xxhash64(own), F.lit(65535)) + 1), 4, "0")).otherwise("0000")
 
-    few = F.filter(terms, lambda x: slot(x) < SUBSETS)
     places = F.sequence(F.lit(0).cast("bigint"), F.lit(SUBSETS - 1).cast("bigint"))
-    return F.array_join(F.transform(places, lambda j: hashed(F.filter(few, lambda x: slot(x) == j))), "")
+    groups = lambda few: F.transform(places, lambda j: _let(F.filter(few, lambda x: slot(x) == j), hashed))
+    return F.array_join(_let(F.filter(terms, lambda x: slot(x) < SUBSETS), groups), "")
 
 
 def _groups(terms: str) -> Column:
     """The 64 groups of a sorted array of term hashes."""
-    return F.lower(F.concat(*[_level(terms, sum(LEVELS[:i]), bits) for i, bits in enumerate(LEVELS)]))
+    return _let(F.col(terms), lambda t: F.lower(F.concat(*[_level(t, sum(LEVELS[:i]), bits) for i, bits in enumerate(LEVELS)])))
 
 
 def likeness(x: str, y: str) -> Column:
