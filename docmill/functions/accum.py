@@ -49,6 +49,21 @@ def _in_order(scope: Scope, by: dict, order: Column, out: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(*keys, order.alias("o"), out.alias("v"))), compare), lambda e: e["v"])
 
 
+#: Accumulators that keep n documents of a group.
+RANKED = ("$firstN", "$lastN", "$minN", "$maxN", "$top", "$topN", "$bottom", "$bottomN")
+
+
+def ranking(scope: Scope, name: str, arg: dict, order: Column) -> tuple[Column, list[tuple[Column, bool]], int, bool]:
+    """Of one of RANKED: the value, the keys by which documents are taken (True: ascending, null lowest), how many, and
+    whether they come back in reverse."""
+    n, back = int(arg["n"]) if name.endswith("N") else 1, name in ("$lastN", "$bottom", "$bottomN")
+    value = compile_expr(scope, arg["output" if "sortBy" in arg else "input"]).col
+    if name in ("$minN", "$maxN"):
+        return value, [(value, name == "$minN")], n, back
+    keys = [*[(scope.field(path).col, sign > 0) for path, sign in arg.get("sortBy", {}).items()], (order, True)]
+    return value, [(c, up != back) for c, up in keys], n, back
+
+
 def accumulator(scope: Scope, name: str, arg: Any, order: Column) -> Column:
     value = lambda: compile_expr(scope, arg)
     if name == "$sum":

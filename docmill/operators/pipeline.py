@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.functions.accum import accumulator
+from docmill.functions.accum import RANKED, accumulator, ranking
 from docmill.functions.expr import compile_expr
 from docmill.functions.predicate import QueryError, compile_on, compile_query, condition
 from docmill.functions.values import SEQ, Scope, Value, walk, with_path
@@ -181,8 +181,35 @@ def _group(df, spec, _):
     scope, order = Scope(df), F.col(SEQ) if SEQ in df.columns else F.lit(0)
     key = compile_expr(scope, spec["_id"])
     key_col = key.col if not (key.is_const and key.const is None) else F.lit(None).cast("string")
-    aggs = [accumulator(scope, *next(iter(x.items())), order).alias(k) for k, x in spec.items() if k != "_id"]
-    return df.groupBy(key_col.alias("_id")).agg(*(aggs or [F.count(F.lit(1)).alias("_n")])).select("_id", *[k for k in spec if k != "_id"])
+    plain, ranked = [], []
+    for k, x in spec.items():
+        if k != "_id":
+            name, arg = next(iter(x.items()))
+            (ranked if name in RANKED else plain).append((k, name, arg))
+    best = [_best(df, scope, key_col, k, name, arg, order) for k, name, arg in ranked]
+    if len(best) == 1 and not plain and ranked[0][1] not in ("$minN", "$maxN") and ranked[0][2].get("n", 1) > 0:
+        return best[0]
+    aggs = [accumulator(scope, name, arg, order).alias(k) for k, name, arg in plain]
+    out = df.groupBy(key_col.alias("_id")).agg(*(aggs or [F.count(F.lit(1)).alias("_n")]))
+    for (k, name, _arg), found in zip(ranked, best, strict=True):
+        found = found.withColumnRenamed("_id", "_found")
+        out = out.join(found, F.col("_id").eqNullSafe(F.col("_found")), "left").drop("_found")
+        if name.endswith("N"):
+            out = out.withColumn(k, F.coalesce(F.col(f"`{k}`"), F.array().cast(found.schema[k].dataType)))
+    return out.select("_id", *[F.col(f"`{k}`") for k in spec if k != "_id"])
+
+
+def _best(df: DataFrame, scope: Scope, key: Column, k: str, name: str, arg: dict, order: Column) -> DataFrame:
+    """_id and k, of one of RANKED. Ranks are cut off before the shuffle and after it, so no group is gathered whole."""
+    value, keys, n, back = ranking(scope, name, arg, order)
+    rows = df.filter(value.isNotNull()) if name in ("$minN", "$maxN") else df
+    rows = rows.select(key.alias("_id"), value.alias("v"), *[c.alias(f"k{i}") for i, (c, _) in enumerate(keys)])
+    by = [F.col(f"k{i}").asc_nulls_first() if up else F.col(f"k{i}").desc_nulls_last() for i, (_, up) in enumerate(keys)]
+    kept = rows.withColumn("rank", F.row_number().over(Window.partitionBy("_id").orderBy(*by))).filter(F.col("rank") <= n)
+    if not name.endswith("N"):
+        return kept.select("_id", F.col("v").alias(k))
+    in_order = F.array_sort(F.collect_list(F.struct((-F.col("rank") if back else F.col("rank")).alias("rank"), "v")))
+    return kept.groupBy("_id").agg(F.transform(in_order, lambda e: e["v"]).alias(k))
 
 
 @stage("$sort")

@@ -209,3 +209,23 @@ def test_fill_and_averages(spark):
     assert [r["v"] for r in agg(rows, {"$fill": {"sortBy": {"_id": 1}, "output": {"v": {"method": "linear"}}}})] == [1.0, 3.0, 7.0, None]
     (out,) = [r["i"] for r in agg(rows, {"$fill": {"output": {"v": {"value": 0}}}}, {"$setWindowFields": {"sortBy": {"_id": 1}, "output": {"i": {"$integral": {"input": "$v"}, "window": {"documents": ["unbounded", "current"]}}}}}) if r["_id"] == 5]
     assert out == 0.5 + 7.0 + 3.5
+
+
+def test_ranked_accumulators(spark):
+    rows = [(i, None if i % 7 == 0 else "hot" if i % 3 else f"g{i % 5}", None if i % 4 == 0 else (i * 37) % 11) for i in range(200)] + [(200, "nulls", None), (201, "nulls", None)]
+    df = spark.createDataFrame(rows, "_id int, g string, v int").coalesce(1)
+    by = {"sortBy": {"v": -1}, "output": "$_id"}
+    spec = {"f": {"$firstN": {"n": 3, "input": "$v"}}, "l": {"$lastN": {"n": 3, "input": "$v"}}, "lo": {"$minN": {"n": 2, "input": "$v"}}, "hi": {"$maxN": {"n": 2, "input": "$v"}}}
+    spec |= {"t": {"$top": by}, "b": {"$bottom": by}, "tn": {"$topN": {"n": 4, **by}}, "bn": {"$bottomN": {"n": 4, **by}}, "k": {"$sum": 1}}
+    got = {r["_id"]: r for r in agg(df, {"$group": {"_id": "$g", **spec}})}
+    groups = {g: [(i, v) for i, h, v in rows if h == g] for g in {r[1] for r in rows}}
+    assert set(got) == set(groups)
+    for g, mine in groups.items():
+        values, some = [v for _, v in mine], sorted(v for _, v in mine if v is not None)
+        ranked = [i for i, v in sorted(mine, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))]
+        want = {"f": values[:3], "l": values[-3:], "lo": some[:2], "hi": some[::-1][:2], "t": ranked[0], "b": ranked[-1], "tn": ranked[:4], "bn": ranked[-4:], "k": len(mine)}
+        assert {k: got[g][k] for k in want} == want, g
+    for name in spec.keys() - {"k"}:
+        assert {r["_id"]: r[name] for r in agg(df, {"$group": {"_id": "$g", name: spec[name]}})} == {g: r[name] for g, r in got.items()}
+    plan = Collection.from_df(df).aggregate([{"$group": {"_id": "$g", "tn": spec["tn"]}}])._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan
