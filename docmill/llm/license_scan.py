@@ -5,15 +5,17 @@ take with max_differing of its words added; line breaks and comment marks are no
 than max_differing are not in the block are out; the others are ranked by how much smaller they make the block, which
 is compressed on its own, and once with each template as zstandard's raw dictionary. In this order they are then held
 against the block word by word (lower case, punctuation left out), and the one with the fewest differing words wins, if
-these are at most max_differing of the template's words; of equal ones the first. Behind the best `tries`, templates that
-lack as many words in the block as the best so far differs in are passed over, as they can't win. The differences are returned as they stand: "-word" for one
-that the block lacks, "+word" for one that it has beside the template.
+these are at most max_differing of the template's words; of equal ones the one with the larger reduction, then the first
+of the templates. Behind the best `tries`, templates that lack as many words in the block as the best so far differs in
+are passed over, as they can't win. The differences are returned as they stand: "-word" for one that the block lacks,
+"+word" for one that it has beside the template.
 
 A notice is found wherever its template's words stand, so words before and after aren't differences. Its words are then
 taken, and the rest of the window is judged again, so every notice comes back that doesn't overlap a better one. One
 row comes back for each: line is that of its first word, block its lines as they stand (of lines that go on for more
 than a window before or after it, only that much), reduction that of the block. Texts without a notice, null and empty
-texts have no row. Repeated rows have their rows repeated, null ids stay null. Whole texts are read.
+texts have no row. Repeated rows have their rows repeated, null ids stay null. Whole texts are read. Other
+columns, of whatever name, are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
