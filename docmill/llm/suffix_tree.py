@@ -9,6 +9,7 @@ context s of n occurrences is kept if its next-symbol distribution diverges from
     sum over next symbols a of c(s, a) * ln(P'(a | s) / P(a | s less its first word)) >= min_gain
 
 where P' is the smoothed estimate without the occurrence that is looked at, so that chance doesn't pass for divergence.
+Divergences are summed in whole units of 2^-20, so that no order or place of the sums shows in a verdict.
 P(a | s) = (c(s, a) + K * P(a | shorter)) / (n + K), K the number of different words that follow s. A word is scored in the state of the longest kept suffix of what is before it; contexts between that and the root that
 aren't kept are passed over. score is the sum of log10 P over the text's words and its end; base_score that of the root.
 
@@ -16,10 +17,12 @@ How it runs: documents are cut into blocks of about BLOCK words, each a row of a
 the joins of each level move no text. Level by level a block asks for what its words need: each distinct pair of a
 context and a next word, with how often the block's training texts have it. Requests are packed arrays, dealt by a hash
 of the context; whoever gets a context counts it over all blocks, tests it, and answers with the verdict and the counts.
-Deeper contexts are asked for only where the shorter one occurred twice. A context of more than `hot` occurrences (hot is
-2^18, or N / 2^20 if that is more) is dealt out by next word as well, and its verdict is that of its parts' summed
-divergences; its K is n ** 0.9, as nobody sees all words that follow it. There are at most N / hot <= 2^20 such contexts
-of one length, whose kept ones are broadcast.
+Deeper contexts are asked for only where the shorter one occurred twice. A context of more than `share` occurrences
+(2^18, or N / 2^20 if that is more) is dealt out by next word as well: its K is the sum of what its parts count, and its
+verdict that of their divergences, which are worked out once K is known, from how many words have each count and rounded
+P(a | shorter). So it gets what it would get in one place, whatever the size of the input. There are at most
+N / share <= 2^20 such contexts of one length; they come to the driver with their K, and the kept ones are broadcast.
+A caller may have K estimated as n ** 0.9 for contexts of more than `hot` occurrences; by default none is.
 
 Words are known by 64 bits of a hash, contexts of a bucket by 40 and next words of one context by 32 more; divergence is
 computed from P(a | shorter) rounded to an eighth of a bit, scores aren't. Null texts are empty: one token, the end. Repeated rows, null ids and very
@@ -29,6 +32,7 @@ come back with "_in" behind it. Without training rows every count is 0 and every
 
 from __future__ import annotations
 
+import math
 import struct
 import uuid
 from collections.abc import Iterator
@@ -43,9 +47,10 @@ from docmill.llm.common import collect_garbage, in_arrow, kept_names, shared_fol
 
 U = np.uint64
 BEGIN, END = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
-DEPTH, BLOCK, BUCKET, HEAPS, HOT = 3, 1 << 19, 1 << 19, 0.9, 0xFFFFFFFF
+DEPTH, BLOCK, BUCKET, SHARE, HEAPS, SHARED = 3, 1 << 19, 1 << 19, 1 << 18, 0.9, 0xFFFFFFFF
+UNIT = 2.0**-20  # of divergence
 OWN = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-ANSWER = "block bigint, bucket int, answer binary, ctx bigint, gain double"
+ANSWER = "block bigint, bucket int, answer binary, ctx bigint, follow bigint"
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -74,15 +79,15 @@ def rounded(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-8 * np.log2(p)), 0, 255).astype(np.uint8)
 
 
-def escape(n: np.ndarray) -> np.ndarray:
-    """About how many different words follow n occurrences of a context, where they aren't counted in one place."""
-    return n**HEAPS
+def escape(n: np.ndarray, follow: np.ndarray, hot: float) -> np.ndarray:
+    """K of contexts of n occurrences: how many different words follow, or about how many beyond hot occurrences."""
+    return np.where((follow > 0) & (n > hot), n**HEAPS, follow)
 
 
 def gains(c: np.ndarray, n: np.ndarray, k: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """What c of n occurrences of a context (n > 1) add to its divergence, each looked at without itself."""
+    """What c of n occurrences of a context (n > 1) add to its divergence, each looked at without itself, in units."""
     p, k = 2.0 ** (code.astype(float) / -8), np.maximum(k - (c == 1), 1e-9)
-    return np.where(c > 0, c * np.log((np.maximum(c - 1.0, 0.0) + k * p) / ((n - 1.0 + k) * p)), 0.0)
+    return np.rint(np.where(c > 0, c * np.log((np.maximum(c - 1.0, 0.0) + k * p) / ((n - 1.0 + k) * p)), 0.0) / UNIT).astype(np.int64)
 
 
 def _cells(buckets: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -132,9 +137,9 @@ def bucket_of(address: np.ndarray, n_buckets: int) -> np.ndarray:
 class Asked:
     """The distinct pairs of context and next word of a block on one level, in the order of the request."""
 
-    def __init__(self, pos: np.ndarray, ctx: np.ndarray, hashes: np.ndarray, totals: np.ndarray, word: np.ndarray, words: np.ndarray, p: np.ndarray, weight: np.ndarray, n_buckets: int, hot: int):
+    def __init__(self, pos: np.ndarray, ctx: np.ndarray, hashes: np.ndarray, totals: np.ndarray, word: np.ndarray, words: np.ndarray, p: np.ndarray, weight: np.ndarray, n_buckets: int, share: int):
         """pos, ctx, word, p, weight: for each position; hashes, totals: of each context; words: hash of each word."""
-        parts = np.where(totals > hot, -(-totals // hot), 1)
+        parts = np.where(totals > share, -(-totals // share), 1)
         first_part = np.cumsum(parts) - parts
         owner = np.repeat(np.arange(len(parts)), parts)
         part = np.arange(len(owner)) - first_part[owner]
@@ -160,22 +165,25 @@ class Asked:
             a, b = self.heads[i], self.heads[j - 1] + self.sizes[j - 1]
             yield bucket, packed(self.ctx[i:j], self.sizes[i:j], self.n[self.heads[i:j]], self.short[a:b], self.code[a:b], self.count[a:b])
 
-    def answered(self, answers: dict[int, bytes], hot_kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each pair how many words follow its context (0 where it isn't kept), and its count."""
+    def answered(self, answers: dict[int, bytes], shared: tuple[np.ndarray, np.ndarray], hot: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each pair K of its context (0 where it isn't kept), and its count. shared: kept contexts in parts, and their followers."""
         follow, counts = [np.empty(0, np.uint32)], [np.empty(0, np.uint64)]
         for bucket, _, _ in _cells(self.bucket):
             for held, x in zip((follow, counts), unpacked(answers[bucket], "<u4", "<u8"), strict=True):
                 held.append(x)
-        flag = np.concatenate(follow)
-        k = np.where(flag == HOT, np.isin(self.ctx, hot_kept) * escape(self.n[self.heads].astype(float)), flag)
+        followed = np.concatenate(follow).astype(float)
+        parted, (ctx, of_ctx) = np.flatnonzero(followed == SHARED), shared
+        at = np.searchsorted(ctx, self.ctx[parted])
+        followed[parted] = np.where(np.append(ctx, ~U(0))[at] == self.ctx[parted], np.append(of_ctx, 0)[at], 0)
+        k = escape(self.n[self.heads].astype(float), followed, hot)
         return np.repeat(k, self.sizes), np.concatenate(counts).astype(np.int64)
 
 
 class Block:
     """The words of a block with what is known of them so far. Runs of words that were met are numbered inside the block."""
 
-    def __init__(self, row: dict, n_buckets: int, hot: int):
-        self.n_buckets, self.hot = n_buckets, hot
+    def __init__(self, row: dict, n_buckets: int, share: int, hot: float):
+        self.n_buckets, self.share, self.hot = n_buckets, share, hot
         self.words = np.append(unpacked(row["words"], "<u8")[0], END)
         index, lengths = unpacked(row["index"], "<u4")[0], np.asarray(row["lengths"], np.int64)
         self.starts = np.cumsum(lengths + 2) - (lengths + 2)  # each text has a begin and an end
@@ -206,11 +214,11 @@ class Block:
         ctx = self.run[pos - 1]
         live = (ctx >= 0) & (self.totals[ctx] >= 2) if len(self.totals) else np.zeros(len(pos), bool)
         pos = pos[live]
-        return Asked(pos, ctx[live], self.hashes, self.totals, self.which[pos], self.words, self.p[pos], self.train[pos], self.n_buckets, self.hot)
+        return Asked(pos, ctx[live], self.hashes, self.totals, self.which[pos], self.words, self.p[pos], self.train[pos], self.n_buckets, self.share)
 
-    def know(self, asked: Asked, answers: dict[int, bytes], hot_kept: np.ndarray) -> None:
+    def know(self, asked: Asked, answers: dict[int, bytes], shared: tuple[np.ndarray, np.ndarray]) -> None:
         """Goes one word deeper."""
-        k, self.totals = asked.answered(answers, hot_kept)
+        k, self.totals = asked.answered(answers, shared, self.hot)
         p = self.p[asked.pos]
         own = k[asked.row_of]
         self.p[asked.pos] = np.where(own > 0, (self.totals[asked.row_of] + own * p) / (asked.n[asked.row_of] + own), p)
@@ -262,11 +270,11 @@ def _blocks(size: int):
     return blocks
 
 
-def _answers(blocks: list[int], bucket: int, answers: list[bytes], stats: list[tuple[int, float]]) -> pa.Table:
+def _answers(blocks: list[int], bucket: int, answers: list[bytes], stats: list[tuple[int, int, bytes | None]]) -> pa.Table:
     n, m = len(answers), len(stats)
-    cols = [blocks + [None] * m, [bucket] * (n + m), answers + [None] * m, [None] * n + [s[0] for s in stats], [None] * n + [s[1] for s in stats]]
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.float64()]
-    return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["block", "bucket", "answer", "ctx", "gain"])
+    cols = [blocks + [None] * m, [bucket] * (n + m), answers + [s[2] for s in stats], [None] * n + [s[0] for s in stats], [None] * n + [s[1] for s in stats]]
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["block", "bucket", "answer", "ctx", "follow"])
 
 
 def count_words(group: pa.Table) -> pa.Table:
@@ -275,12 +283,13 @@ def count_words(group: pa.Table) -> pa.Table:
     words, inverse = grouped(np.concatenate([c[0] for c in cells]))
     count = np.bincount(inverse, weights=np.concatenate([c[1] for c in cells]), minlength=len(words)).astype(np.uint64)
     ends = np.cumsum([len(c[0]) for c in cells])[:-1]
-    return _answers(group.column("block").to_pylist(), group.column("bucket")[0].as_py(), [packed(x) for x in np.split(count[inverse], ends)], [(-1, float((count > 0).sum()))])
+    return _answers(group.column("block").to_pylist(), group.column("bucket")[0].as_py(), [packed(x) for x in np.split(count[inverse], ends)], [(-1, int((count > 0).sum()), None)])
 
 
-def tested_contexts(hot: int, min_gain: float):
+def tested_contexts(share: int, hot: float, min_gain: float):
     def test(group: pa.Table) -> pa.Table:
-        """Answers: for each context how many words follow it (0: not kept; HOT: see the sum of its parts), for each pair its count."""
+        """Answers: for each context how many words follow it (0: not kept; SHARED: see all its parts), for each pair its
+        count. Statistics: of each part of a context, followers, and what divergences() needs once K is known."""
         cells = [unpacked(x, "<u8", "<u4", "<i8", "<u4", "u1", "<u4") for x in group.column("request").to_pylist()]
         ctx, sizes, n, word, code, count = (np.concatenate(x) for x in zip(*cells, strict=True))
         names, of_row = grouped(ctx)
@@ -288,19 +297,42 @@ def tested_contexts(hot: int, min_gain: float):
         pairs = np.repeat(of_row, sizes).astype(U) << U(32) | word
         first, inverse = grouped(pairs)
         c, owner = np.bincount(inverse, weights=count, minlength=len(first)), (pairs[first] >> U(32)).astype(np.int64)
-        is_hot, follow = total > hot, np.bincount(owner[c > 0], minlength=len(names))
-        k = np.where(is_hot, escape(total.astype(float)), follow)
-        gain = np.bincount(owner, weights=gains(c, total[owner].astype(float), k[owner], code[first]), minlength=len(names))
-        flag = np.where(is_hot, HOT, np.where(gain >= min_gain, follow, 0)).astype(np.uint32)
+        code, is_shared, follow = code[first], total > share, np.bincount(owner[c > 0], minlength=len(names))
+        edges = np.searchsorted(owner, np.arange(len(names) + 1))
+        k = escape(total.astype(float), follow, hot)
+        gain = np.add.reduceat(gains(c, total[owner].astype(float), k[owner], code), edges[:-1])
+        flag = np.where(is_shared, SHARED, np.where(gain >= min_gain / UNIT, follow, 0)).astype(np.uint32)
         counts = c.astype(np.uint64)[inverse]
         row_ends, pair_ends = np.cumsum([len(x[0]) for x in cells])[:-1], np.cumsum([len(x[3]) for x in cells])[:-1]
         answers = [packed(f, c) for f, c in zip(np.split(flag[of_row], row_ends), np.split(counts, pair_ends), strict=True)]
-        stats = [(int(names[i]), float(gain[i])) for i in np.flatnonzero(is_hot)]
+        stats = []
+        for i in np.flatnonzero(is_shared).tolist():
+            seen = slice(edges[i], edges[i + 1])
+            kinds, times = np.unique(c[seen].astype(U) << U(8) | code[seen], return_counts=True)
+            stats.append((int(names[i]), int(follow[i]), packed(total[i : i + 1].astype("<i8"), kinds, times.astype("<i8"))))
         return _answers(group.column("block").to_pylist(), group.column("bucket")[0].as_py(), answers, stats)
 
     return test
 
 
+def divergences(stats: DataFrame, ctx: np.ndarray, follow: np.ndarray, hot: float) -> DataFrame:
+    """ctx and gain (in units) of contexts that were counted in parts. follow: of each of the sorted ctx, by all its parts."""
+    sent = stats.sparkSession.sparkContext.broadcast((ctx, follow))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, followed = sent.value
+        for batch in slices(batches):
+            out = []
+            for name, part in zip(batch.column("ctx").to_pylist(), batch.column("answer").to_pylist(), strict=True):
+                n, kinds, times = unpacked(part, "<i8", "<u8", "<i8")
+                n, at = n.astype(float), np.searchsorted(names, U(name))
+                k = escape(n, followed[at : at + 1], hot)
+                out.append(int((gains((kinds >> U(8)).astype(float), n, k, (kinds & U(255)).astype(np.uint8)) * times).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("ctx"), pa.array(out, pa.int64())], names=["ctx", "gain"])
+
+    return in_arrow(stats.select("ctx", "answer"), summed, "ctx bigint, gain bigint").groupBy("ctx").agg(F.sum("gain").alias("gain"))
+
+
 def score(documents: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), depth: int = DEPTH, min_gain: float = 4.0, hot: int | None = None) -> DataFrame:
     """id_col, keep, n_tokens, n_known, train_tokens, base_score, score."""
     spark = documents.sparkSession
@@ -318,10 +350,10 @@ def score(documents: DataFrame, training: Column, *, id_col: str = "doc_id", tex
     sized = blocks.select(F.arrays_zip("train", "lengths").alias("x")).select(F.inline("x"))
     n_all, n, n_texts = sized.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum(F.col("lengths") + 1), F.sum(F.when(F.col("train"), F.col("lengths") + 1)), F.count_if("train"))]).first()
     n_buckets = max(-(-n_all // BUCKET), 1)
-    hot = hot or max(1 << 18, n >> 20)
+    share, hot = max(SHARE, n >> 20), math.inf if hot is None else hot
     columns = ["block", "train", "lengths", "words", "index"]
     levels: list[DataFrame] = []
-    facts: dict = {"n": n, "n_texts": n_texts, "hot_kept": []}
+    facts: dict = {"n": n, "n_texts": n_texts, "shared": []}
 
     def joined(*more: str) -> DataFrame:
         """Blocks beside all answers to them so far."""
@@ -333,11 +365,11 @@ def score(documents: DataFrame, training: Column, *, id_col: str = "doc_id", tex
         return out
 
     def replayed(row: dict, facts: dict, n_levels: int) -> Block:
-        block = Block(row, n_buckets, hot)
+        block = Block(row, n_buckets, share, hot)
         for d in range(n_levels):
             answers = {x["bucket"]: x["answer"] for x in row[f"a{d}"] or []}
             if d:
-                block.know(block.asked(), answers, facts["hot_kept"][d - 1])
+                block.know(block.asked(), answers, facts["shared"][d - 1])
             else:
                 block.know_words(answers, facts["n"], facts["v"], facts["n_texts"])
         return block
@@ -352,15 +384,18 @@ def score(documents: DataFrame, training: Column, *, id_col: str = "doc_id", tex
                 cells = list(block.asked().requests() if n_levels else block.word_requests())
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(cells), pa.int64()), pa.array([c[0] for c in cells], pa.int32()), pa.array([c[1] for c in cells], pa.binary())], names=["block", "bucket", "request"])
 
-        serve = tested_contexts(hot, min_gain) if d else count_words
+        serve = tested_contexts(share, hot, min_gain) if d else count_words
         found = in_arrow(joined(), ask, "block bigint, bucket int, request binary").groupBy("bucket").applyInArrow(serve, ANSWER)
         levels.append(written(found, f"level-{d}"))
         stats = levels[-1].filter("block is null")
         if d:
-            summed = stats.groupBy("ctx").agg(F.sum("gain").alias("gain")).filter(F.col("gain") >= min_gain).select("ctx")  # n / hot at most
-            facts = facts | {"hot_kept": [*facts["hot_kept"], np.array(sorted(r["ctx"] for r in summed.collect()), U)]}
+            rows = stats.groupBy("ctx").agg(F.sum("follow").alias("follow")).orderBy("ctx").collect()  # n / share at most
+            ctx, follow = np.array([r["ctx"] for r in rows], U), np.array([r["follow"] for r in rows], np.int64)
+            wide = divergences(stats, ctx, follow, hot).filter(F.col("gain") >= min_gain / UNIT).collect() if rows else []
+            kept_ones = np.isin(ctx, np.array([r["ctx"] for r in wide], U))
+            facts = facts | {"shared": [*facts["shared"], (ctx[kept_ones], follow[kept_ones])]}
         else:
-            facts["v"] = int(stats.agg(F.coalesce(F.sum("gain"), F.lit(0))).first()[0])
+            facts["v"] = int(stats.agg(F.coalesce(F.sum("follow"), F.lit(0))).first()[0])
         del found
         collect_garbage(spark)
 
