@@ -3,9 +3,11 @@
 * Byte-level files (use_regex) whose ids follow the order of their merges: merging by rank is what tiktoken does, with
   the same pattern for pre-tokens; it is given the file's vocabulary. Texts that hold the name of a special token, or a
   run of LONG_RUN characters other than white space, go to the library.
-* Word-end files, whose white space is dropped: the ids of a text are those of its words, one after the other. Words
-  are encoded by the library, each distinct one once a worker, and kept in two tables of at most MEMO words; when the
-  newer is full the older one is dropped.
+* Word-end files, whose white space is dropped: the ids of a text are those of its words, one after the other. Each
+  distinct word is encoded once a worker, and kept in two tables of at most MEMO words; when the newer is full the older
+  one is dropped. Words of Latin letters alone are merged by rank as well, with a blank for the end of a word, if merging
+  by pairs, as the library does, makes each token of the file out of its own text: then no two neighbours but the pair of
+  a token's own merge can ever make that token, and both ways are the same. All other words go to the library.
 * Any other text or file is encoded by the library as it stands.
 """
 
@@ -26,6 +28,8 @@ _long_run = re.compile(r"\S{%d}" % LONG_RUN).search
 _marks_meet = re.compile(r"[.,](?:(?<=[^\w\s].)|(?<=_.)|(?=[^\w\s]|_))").search
 _odd_space = re.compile("[\x1c-\x1f]").search  # white space to Python, not to the library
 _latin = re.compile("[\x00-\u017f]*").fullmatch
+# letters that are composed and lower-cased one by one; longer words are rare and take merging by rank too long
+_letters = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]{1,200}").fullmatch
 
 
 def path_of(file: str) -> str:
@@ -62,6 +66,7 @@ class Pieces:
         for name, i in self.library.get_vocab().items():
             self.n_bytes[i] = len(name) - (suffix if suffix and name.endswith("</w>") else 0)
         self.by_rank = self._ranked(state["model"]) if self.blank == " " else None
+        self.by_word = self._word_ranked(state["model"]) if self.blank == "" else None
 
     def _ranked(self, model: dict):
         """A tiktoken encoding with this file's vocabulary; None if ids don't follow the order of merges."""
@@ -75,13 +80,42 @@ class Pieces:
         ranks = {x: i for i, x in enumerate(self.bytes_of) if i not in self.special_ids}
         return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
+    def _word_ranked(self, model: dict):
+        """A tiktoken encoding of words that each have a blank behind them; None if it isn't sure to equal the library's."""
+        import tiktoken
+        from tokenizers import models
+
+        suffix, of = model["end_of_word_suffix"], self._byte_of
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        ranks = {name: i for name, i in model["vocab"].items() if i not in self.special_ids}
+        inner = [name for name in ranks if not name.endswith(suffix)]
+        stems = [name[: -len(suffix)] for name in ranks if name.endswith(suffix)]
+        by_bytes = {bytes(map(of.get, name)): ranks[name] for name in inner if all(c in of for c in name)}
+        by_bytes |= {bytes(map(of.get, stem)) + b" ": ranks[stem + suffix] for stem in stems if all(c in of for c in stem)}
+        ids = [ranks.get(a + b.removesuffix(suffix) + suffix if b.endswith(suffix) else a + b, -1) for a, b in merges]
+        if len(by_bytes) != len(ranks) or len(ranks) != len(ids) + 512 or ids != sorted(set(ids)) or min(ids) < 512:
+            return None
+        if not set(of) <= set(inner) or not set(of) <= set(stems) or any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "ignore_merges")):
+            return None
+        for names, end in ((inner, ""), (stems, suffix)):
+            by_pairs = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **({"end_of_word_suffix": end} if end else {}))
+            if any([t.id for t in by_pairs.tokenize(x)] != [ranks[x + end]] for x in names):
+                return None
+        self.ends_word = np.zeros(self.library.get_vocab_size() + 1, bool)
+        self.ends_word[[ranks[stem + suffix] for stem in stems]] = True
+        return tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=by_bytes, special_tokens={}).encode_to_numpy
+
     @functools.cached_property
-    def bytes_of(self) -> list[bytes]:
-        """The bytes of each id of a byte-level file; a special token has those of its name."""
+    def _byte_of(self) -> dict[str, int]:
+        """The byte that each character of a byte-level token's name stands for."""
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [i for i in range(256) if i not in visible]
-        of = {chr(i): i for i in visible} | {chr(256 + k): i for k, i in enumerate(rest)}
-        out = [b""] * self.library.get_vocab_size()
+        return {chr(i): i for i in visible} | {chr(256 + k): i for k, i in enumerate(rest)}
+
+    @functools.cached_property
+    def bytes_of(self) -> list[bytes]:
+        """The bytes of each id of a byte-level file; a special token has those of its name."""
+        of, out = self._byte_of, [b""] * self.library.get_vocab_size()
         for name, i in self.library.get_vocab().items():
             out[i] = name.encode() if name in self.specials else bytes(of[c] for c in name)
         return out
@@ -95,7 +129,8 @@ class Pieces:
         unmet = words.difference(self.memo)
         again = unmet.intersection(self.older)
         self.memo.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        new = list(unmet.difference(again))
+        new = unmet.difference(again)
+        new = list(new.difference(self._learn_letters(new)))
         plain = [w for w in new if w and _latin(w)]
         if not self._learn_joined(plain):
             plain = []
@@ -103,6 +138,15 @@ class Pieces:
         for w, e in zip(rest, self.library.encode_batch_fast([self.blank + w for w in rest], add_special_tokens=False), strict=True):
             self.memo[w] = np.asarray(e.ids, self.kind).tobytes()
 
+    def _learn_letters(self, words: set[str]) -> list[str]:
+        """Encodes those that are letters alone by rank; which these are."""
+        found = list(filter(_letters, words)) if self.by_word else []
+        if found:
+            ids = self.by_word(" ".join([*found, ""]).lower(), disallowed_special=())
+            data, at = ids.astype(self.kind).tobytes(), ((np.flatnonzero(self.ends_word[ids]) + 1) * self.kind.itemsize).tolist()
+            self.memo.update(zip(found, (data[i:j] for i, j in zip([0, *at], at)), strict=True))
+        return found
+
     def _learn_joined(self, words: list[str]) -> bool:
         """Encodes many pieces as one text, and cuts its ids where the bytes of the pieces end; False if they don't all end with an id."""
         if not words or any(s in w for w in words for s in self.specials if "<" in w):

@@ -88,6 +88,32 @@ def test_token_table(spark, docs, none, tmp_path):
     assert token_planes.read_token_planes(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_words_of_letters_are_merged_by_rank(monkeypatch):
+    rng, p = random.Random(6), tokens.Pieces(tokens.path_of("word_bpe_49k.json"), 4)
+    letters = [chr(i) for i in range(0x180) if chr(i).isalpha()]
+    words = [a + b + c for a in letters for b, c in (("", ""), ("e", "n"), (rng.choice(letters), ""))]
+    words += ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 40))) for _ in range(3000)] + ["x" * 200, "x" * 201, "anna" * 50]
+    words += [name.removesuffix("</w>") for name in rng.sample(sorted(p.library.get_vocab()), 5000) if name.removesuffix("</w>").isalpha()]
+    others, joined = [], p._learn_joined
+    monkeypatch.setattr(p, "_learn_joined", lambda words: others.extend(words) or joined(words))
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    assert p.encode_all(texts) == [p.whole(t) for t in texts]
+    assert not [w for w in others if w.isascii() and w.isalpha() and len(w) <= 200]
+
+
+def test_merges_that_no_rank_tells(tmp_path):
+    """A file with a token that its own merge doesn't make out of its text is left to the library."""
+    import json
+
+    state = json.load(open(tokens.path_of("word_bpe_49k.json")))
+    merges, vocab = state["model"]["merges"], state["model"]["vocab"]
+    at, odd = next((i, [x[:k], x[k:]]) for i in range(len(merges) - 1, 0, -1) for m in [merges[i] if isinstance(merges[i], list) else merges[i].split(" ")] for x in ["".join(m)] if x.isalpha() for k in range(1, len(x)) if k != len(m[0]) and x[:k] in vocab and x[k:] in vocab)
+    merges[at] = odd if isinstance(merges[at], list) else " ".join(odd)
+    (tmp_path / "odd.json").write_text(json.dumps(state))
+    p, word = tokens.Pieces(str(tmp_path / "odd.json"), 4), "".join(odd)
+    assert p.by_word is None and p.encode(f"{word}s {word} x{word}") == p.whole(f"{word}s {word} x{word}")
+
+
 @pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_pieces_equal_the_library(file):
     rng, p = random.Random(2), tokens.Pieces(tokens.path_of(file), 4, memo=50)
