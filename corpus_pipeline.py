@@ -51,8 +51,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text as ids, and the digest of what they decode to."""
-    path = tokens.path_of("byte_bpe_50k.json")
-    decoded = chunk_reuse.decode_ids(chunk_reuse.encode_documents(docs, path), path)
+    decoded = chunk_reuse.encode_and_decode(docs, tokens.path_of("byte_bpe_50k.json"))
     return decoded.select("doc_id", "n_tokens", "ids", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -80,8 +80,8 @@ def _joined(raw: bytes, spans: list[tuple[int, int]], have: dict[bytes, bytes],
     return b"".join(out)
 
 
-def encode_documents(documents: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, ids (binary: unsigned 16-bit little-endian ids, 32-bit for vocabularies beyond that), one row for each row."""
+def _encoders(documents: DataFrame, path: str, id_col: str, text_col: str):
+    """Rows to read (id, raw), what encodes those of them that aren't aside, the type of id, and id, ids of the others."""
     if tokens.Pieces(path).blank != " ":
         raise ValueError("chunks are reused with byte-level tokenizers only")
     width = tokens.width_of(path)
@@ -160,15 +160,31 @@ def encode_documents(documents: DataFrame, path: str, *, id_col: str = "doc_id",
     encoded = written(in_arrow(distinct.select("key", "raw").join(own, "key").select("raw", "own"), encode_own, "core binary, ids binary", "tokens"), "cores")
     have = places.distinct().join(encoded, "core").groupBy("key").agg(F.collect_list(F.struct("core", "ids")).alias("have"))
     repaired = in_arrow(distinct.select("key", "raw").join(have, "key", "left").select("key", "raw", "have"), repair, "key binary, ids binary", "tokens")
-    back = in_arrow(chunks.select("id", "key"), places_of, f"id {kind}, key binary", "tokens").join(repaired, "key").select("id", "ids")
+    back = in_arrow(chunks.select("id", "key"), places_of, f"id {kind}, key binary", "tokens")
+    return texts, encode_rest, kind, back.join(repaired.hint("merge"), "key").select("id", "ids")  # by shuffle: a broadcast would have two workers in a task
+
+
+def encode_documents(documents: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, ids (binary: unsigned 16-bit little-endian ids, 32-bit for vocabularies beyond that), one row for each row."""
+    texts, encode_rest, kind, back = _encoders(documents, path, id_col, text_col)
     return in_arrow(texts, encode_rest, f"id {kind}, ids binary", "tokens").unionByName(back).withColumnRenamed("id", id_col)
 
 
-def decode_ids(encoded: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
-    """keep, ids_col, n_tokens, ids_sha256 (of the decimal ids, joined by commas), text (as the library's decode, special tokens included)."""
-    names = [*keep, ids_col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*names).schema)
-    width = tokens.width_of(path)
+def encode_and_decode(documents: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode_ids() of encode_documents(), keeping id_col; a text that is encoded where it is read is decoded by the same
+    worker, so that no task has two of them, each with a tokenizer."""
+    texts, encode_rest, kind, back = _encoders(documents, path, id_col, text_col)
+    decode = _decoder(path, ["id"], "ids")
+    own = in_arrow(texts, lambda batches: decode(encode_rest(batches)), f"id {kind}, ids binary, {DECODED}", "tokens")
+    return own.unionByName(decode_ids(back, path, keep=("id",))).withColumnRenamed("id", id_col)
+
+
+DECODED = "n_tokens bigint, ids_sha256 string, text string"
+
+
+def _decoder(path: str, keep: list[str], ids_col: str):
+    """Of batches with the columns keep and ids_col, those and DECODED."""
+    names, width = [*keep, ids_col], tokens.width_of(path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = tokens.pieces(path, width).bytes_of
@@ -182,4 +198,11 @@ def decode_ids(encoded: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_i
                 texts.append(b"".join([of[i] for i in ids]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], names=[*names, "n_tokens", "ids_sha256", "text"])
 
-    return in_arrow(encoded.select(*names), decode, f"{schema}, n_tokens bigint, ids_sha256 string, text string", "tokens")
+    return decode
+
+
+def decode_ids(encoded: DataFrame, path: str, *, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
+    """keep, ids_col, n_tokens, ids_sha256 (of the decimal ids, joined by commas), text (as the library's decode, special tokens included)."""
+    names = [*keep, ids_col]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*names).schema)
+    return in_arrow(encoded.select(*names), _decoder(path, list(keep), ids_col), f"{schema}, {DECODED}", "tokens")

@@ -25,3 +25,12 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         labels = step.select("v", "label")
         if step.filter("label != old").isEmpty():
             return labels
+
+
+def extended(labels: DataFrame, links: DataFrame, name: str = "components") -> DataFrame:
+    """components() of the links that labels came from and of more links (a, b). Only labels that these join are looked at."""
+    at = [labels.select(F.col("v").alias(c), F.col("label").alias(f"of_{c}")) for c in ("a", "b")]
+    ends = links.join(at[0], "a", "left").join(at[1], "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = components(ends.filter("a != b"), name).select(F.col("v").alias("old"), F.col("label").alias("new"))
+    fresh = links.select(F.col("a").alias("v")).union(links.select("b")).distinct().join(labels, "v", "left_anti").select("v", F.col("v").alias("label"))
+    return written(labels.unionByName(fresh).join(joined, F.col("label") == F.col("old"), "left").select("v", F.coalesce("new", "label").alias("label")), name)

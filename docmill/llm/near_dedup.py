@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm import shingles
 from docmill.llm.common import bit_filter, in_filter, in_arrow, slices, written
-from docmill.llm.components import components
+from docmill.llm.components import components, extended
 
 PERMUTATIONS, BANDS, BLOCK, ROUNDS, PIVOTS, CLUSTER = 72, 24, 256, 1, 4, 4096
 _rng = np.random.Generator(np.random.PCG64(20240501))
@@ -200,11 +200,9 @@ def _finish(buckets: DataFrame, sets: DataFrame, links: DataFrame, percent: int)
         if k == ROUNDS or large.isEmpty():
             break
         pairs = large.select("id", "label", F.explode("pivots").alias("p")).filter("p.label != label").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
-        links = links.union(written(_confirm(pairs.distinct(), sets, percent), "links"))
-        labels = components(links)
+        labels = extended(labels, written(_confirm(pairs.distinct(), sets, percent), "links"))
     if not labelled.isEmpty():
-        links = links.union(written(_compare_open(labelled.select("key", "id", "label", "n"), sets, percent), "links"))
-        labels = components(links)
+        labels = extended(labels, written(_compare_open(labelled.select("key", "id", "label", "n"), sets, percent), "links"))
     return labels
 
 

@@ -43,9 +43,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docmill.llm import chunk_reuse, tokens
 
-    path = tokens.path_of("byte_bpe_50k.json")
-    encoded = chunk_reuse.encode_documents(table(spark, sf_dir, "documents"), path)
-    decoded = chunk_reuse.decode_ids(encoded, path)
+    decoded = chunk_reuse.encode_and_decode(table(spark, sf_dir, "documents"), tokens.path_of("byte_bpe_50k.json"))
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -270,6 +270,27 @@ def test_encode_and_decode(docs, none):
         chunk_reuse.encode_documents(docs, tokens.path_of("word_bpe_49k.json"))
 
 
+def workers_of_a_task(node):
+    """Python workers at once in a task of this stage, and the most in any stage below."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return workers_of_a_task(node.initialPlan())
+    children = [workers_of_a_task(node.children().apply(i)) for i in range(node.children().size())]
+    own, below = (max((x[i] for x in children), default=0) for i in (0, 1))
+    if "Exchange" in node.nodeName():
+        return 0, max(own, below)
+    return own + ("InArrow" in node.nodeName()), below
+
+
+def test_encode_and_decode_have_one_worker_in_a_task(docs, none):
+    path, order = tokens.path_of("byte_bpe_50k.json"), lambda df: sorted(map(str, df.select("doc_id", "ids", "n_tokens", "ids_sha256", "text").collect()))
+    got = chunk_reuse.encode_and_decode(docs, path)
+    assert order(got) == order(chunk_reuse.decode_ids(chunk_reuse.encode_documents(docs, path), path, keep=("doc_id",)))
+    assert max(workers_of_a_task(got._jdf.queryExecution().executedPlan())) == 1
+    assert chunk_reuse.encode_and_decode(none, path).count() == 0
+    query = __import__("__spark_entry__").corpus_pipeline.bpe(docs.sparkSession, docs, "")
+    assert max(workers_of_a_task(query._jdf.queryExecution().executedPlan())) == 1
+
+
 def test_cores_are_shared_wherever_they_stand():
     passage = prose(3000).encode()
     a, b = prose(333).encode() + b" " + passage + b" end", b"start " + passage + b" " + prose(50).encode()
@@ -634,6 +655,21 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_more_links_are_held_against_components_alone(spark, monkeypatch):
+    """What is known already isn't joined again: stars around many pivots would count once for each round of each call."""
+    rng, schema = random.Random(3), "a bigint, b bigint"
+    old = [(p, i) for p in range(6) for i in range(6, 60)] + [(100 + i, 101 + i) for i in range(9)] + [(200, 201)]
+    more = [(59, 109), (105, 300), (400, 401), (7, 8), *[(500 + rng.randrange(20), 500 + rng.randrange(20)) for _ in range(15)]]
+    looked, whole = [], components.components
+    labels = whole(spark.createDataFrame(old, schema))
+    monkeypatch.setattr(components, "components", lambda links, *name: looked.append(links.count()) or whole(links, *name))
+    got = components.extended(labels, spark.createDataFrame(more, schema))
+    want = whole(spark.createDataFrame(old + more, schema))
+    assert {r["v"]: r["label"] for r in got.collect()} == {r["v"]: r["label"] for r in want.collect()}
+    assert got.count() == want.count() and looked[0] <= len(more)
+    assert whole(spark.createDataFrame(old, schema)).exceptAll(components.extended(labels, spark.createDataFrame([], schema))).count() == 0
+
+
 def test_shingles_ignore_kind_of_space():
     a, b, c, d = shingles.shingle_sets([b"One two  three\tfour\nfive six", b"one two three four five six", b"one two", b""])
     assert np.array_equal(a, b) and len(a) == 2 and len(c) == 1 and len(d) == 0
