@@ -104,28 +104,35 @@ def ordered(keys: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.empty(0, np.int64)
     bits, free = U((len(keys) - 1).bit_length()), U(64 - int(keys.max()).bit_length())
-    both = keys << free >> bits << bits | np.arange(len(keys), dtype=U)
+    both = keys << free
+    both >>= bits
+    both <<= bits
+    both |= np.arange(len(keys), dtype=U)
     both.sort()
-    order = (both & ((U(1) << bits) - U(1))).astype(np.int64)
-    if bits > free:
-        found = keys[order]
-        wrong = np.flatnonzero(found[1:] < found[:-1])
-        if len(wrong):
-            run = np.concatenate([[0], np.cumsum((both[1:] >> bits) != (both[:-1] >> bits))])
-            odd = np.zeros(run[-1] + 1, bool)
-            odd[run[wrong]] = True
-            odd = odd[run]
-            order[odd] = order[odd][np.argsort(found[odd], kind="stable")]
+    if bits <= free:
+        both &= (U(1) << bits) - U(1)
+        return both.view(np.int64)
+    order = (both & ((U(1) << bits) - U(1))).view(np.int64)
+    found = keys[order]
+    wrong = np.flatnonzero(found[1:] < found[:-1])
+    if len(wrong):
+        run = np.concatenate([[0], np.cumsum((both[1:] >> bits) != (both[:-1] >> bits))])
+        odd = np.zeros(run[-1] + 1, bool)
+        odd[run[wrong]] = True
+        odd = odd[run]
+        order[odd] = order[odd][np.argsort(found[odd], kind="stable")]
     return order
 
 
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each distinct key, from the smallest to the greatest, where one is; and for each key the number of its group."""
     order = ordered(keys)
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[order[1:]] != keys[order[:-1]]
-    group = np.empty(len(keys), np.int64)
-    group[order] = np.cumsum(new) - 1
+    new, held = np.ones(len(keys), bool), keys[order]
+    np.not_equal(held[1:], held[:-1], out=new[1:])
+    del held
+    number, group = np.cumsum(new, dtype=np.int32), np.empty(len(keys), np.int32)
+    number -= 1
+    group[order] = number
     return order[new], group
 
 
@@ -135,7 +142,9 @@ def bucket_of(address: np.ndarray, n_buckets: int) -> np.ndarray:
 
 
 class Asked:
-    """The distinct pairs of context and next word of a block on one level, in the order of the request."""
+    """The distinct pairs of context and next word of a block on one level, in the order of the request.
+
+    What only a request needs is worked out with it: most are made again to read the answer."""
 
     def __init__(self, pos: np.ndarray, ctx: np.ndarray, hashes: np.ndarray, totals: np.ndarray, word: np.ndarray, words: np.ndarray, p: np.ndarray, weight: np.ndarray, n_buckets: int, share: int):
         """pos, ctx, word, p, weight: for each position; hashes, totals: of each context; words: hash of each word."""
@@ -148,11 +157,17 @@ class Asked:
         rank = np.empty(len(owner), np.int64)
         rank[by_address] = np.arange(len(owner))
         short = (words >> U(32)).astype(np.uint32)
-        slot = rank[first_part[ctx] + short[word] % parts[ctx]]
-        first, self.row_of = grouped(slot.astype(U) << U(max(len(words) - 1, 1).bit_length()) | word.astype(U))
-        own, self.pos, self.word = slot[first], pos, word[first]
+        place, several = first_part[ctx], np.flatnonzero((parts > 1)[ctx])
+        place[several] += short[word[several]] % parts[ctx[several]]
+        slot = rank[place].view(U)
+        del place, several
+        key = slot << U(max(len(words) - 1, 1).bit_length())
+        key |= word.astype(U)
+        first, self.row_of = grouped(key)
+        del key
+        own, self.pos, self.word, self.first, self.p, self.weight = slot[first].view(np.int64), pos, word[first], first, p, weight
+        del slot
         self.n, self.hash, self.short = totals[ctx[first]], hashes[ctx[first]], short[self.word]
-        self.code, self.count = rounded(p[first]), np.bincount(self.row_of, weights=weight, minlength=len(first)).astype(np.uint32)
         new = np.ones(len(first), bool)
         new[1:] = own[1:] != own[:-1]
         self.heads = np.flatnonzero(new)  # the first pair of each context
@@ -161,9 +176,10 @@ class Asked:
         self.ctx = self.hash[self.heads] & U((1 << 40) - 1)
 
     def requests(self) -> Iterator[tuple[int, bytes]]:
+        code, count = rounded(self.p[self.first]), np.bincount(self.row_of, weights=self.weight, minlength=len(self.first)).astype(np.uint32)
         for bucket, i, j in _cells(self.bucket):
             a, b = self.heads[i], self.heads[j - 1] + self.sizes[j - 1]
-            yield bucket, packed(self.ctx[i:j], self.sizes[i:j], self.n[self.heads[i:j]], self.short[a:b], self.code[a:b], self.count[a:b])
+            yield bucket, packed(self.ctx[i:j], self.sizes[i:j], self.n[self.heads[i:j]], self.short[a:b], code[a:b], count[a:b])
 
     def answered(self, answers: dict[int, bytes], shared: tuple[np.ndarray, np.ndarray], hot: float) -> tuple[np.ndarray, np.ndarray]:
         """For each pair K of its context (0 where it isn't kept), and its count. shared: kept contexts in parts, and their followers."""
@@ -210,18 +226,19 @@ class Block:
         self.hashes, self.totals = np.append(self.words, BEGIN), np.append(counts, n_texts)
 
     def asked(self) -> Asked:
-        pos = np.flatnonzero(self.own)
-        ctx = self.run[pos - 1]
-        live = (ctx >= 0) & (self.totals[ctx] >= 2) if len(self.totals) else np.zeros(len(pos), bool)
-        pos = pos[live]
-        return Asked(pos, ctx[live], self.hashes, self.totals, self.which[pos], self.words, self.p[pos], self.train[pos], self.n_buckets, self.share)
+        often = np.append(self.totals >= 2, False)  # the last: no context
+        live = np.zeros(len(self.own), bool)
+        live[1:] = self.own[1:] & often[self.run[:-1]]
+        pos = np.flatnonzero(live)
+        return Asked(pos, self.run[pos - 1], self.hashes, self.totals, self.which[pos], self.words, self.p[pos], self.train[pos], self.n_buckets, self.share)
 
     def know(self, asked: Asked, answers: dict[int, bytes], shared: tuple[np.ndarray, np.ndarray]) -> None:
         """Goes one word deeper."""
         k, self.totals = asked.answered(answers, shared, self.hot)
-        p = self.p[asked.pos]
-        own = k[asked.row_of]
-        self.p[asked.pos] = np.where(own > 0, (self.totals[asked.row_of] + own * p) / (asked.n[asked.row_of] + own), p)
+        kept = np.flatnonzero((k > 0)[asked.row_of])
+        row = asked.row_of[kept]
+        own = k[row]
+        self.p[asked.pos[kept]] = (self.totals[row] + own * asked.p[kept]) / (asked.n[row] + own)
         self.run = np.full(len(self.run), -1, np.int32)
         self.run[asked.pos] = asked.row_of
         self.hashes = shingles.mix(asked.hash * shingles._C + self.words[asked.word])
